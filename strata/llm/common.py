@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: Texts are worked on in runs of about this many bytes, which bounds the arrays made per byte.
 RUN_BYTES = 4 << 20
 #: A worker forgets what it knows of distinct chunks beyond this many.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 
 
 def narrow(df: DataFrame, **wanted: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import packing, quality_rules, secret_scan, sharding, simhash_dedup, token_counts
+from strata.llm import language_id, media, packing, quality_rules, secret_scan, sentence_pieces, sharding, simhash_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.read_back(spark, media.store(spark, table(spark, sf_dir, "documents")))
+
+
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.round_trip(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark, table(spark, sf_dir, "documents"))
 
@@ -40,8 +48,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.language_id(spark, table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op5_secret_scan, op6_simhash_dedup, op7_packing, op8_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_sentence_pieces, op4_quality_rules, op5_secret_scan, op6_simhash_dedup, op7_packing, op8_sharding, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -27,18 +27,17 @@ def narrow(df: DataFrame, **wanted: str) -> DataFrame:
     Names are matched exactly, then without case; of equal names the first column counts. So other columns
     never clash, whatever they are called.
     """
-    names = df.columns
-    flat = df.toDF(*[f"_{i}" for i in range(len(names))])
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return flat.select(*[F.col(f"_{place_of(df, source)}").alias(target) for target, source in wanted.items()])
 
-    def at(name: str) -> int:
-        if name in names:
-            return names.index(name)
-        lower = [n.lower() for n in names]
-        if name.lower() not in lower:
-            raise ValueError(f"no column {name!r} in {names}")
-        return lower.index(name.lower())
 
-    return flat.select(*[F.col(f"_{at(source)}").alias(target) for target, source in wanted.items()])
+def place_of(df: DataFrame, name: str) -> int:
+    names, lower = df.columns, [n.lower() for n in df.columns]
+    if name in names:
+        return names.index(name)
+    if name.lower() not in lower:
+        raise ValueError(f"no column {name!r} in {names}")
+    return lower.index(name.lower())
 
 
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: str) -> DataFrame:
@@ -150,3 +149,25 @@ def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def keep_rows(spark: SparkSession, df: DataFrame, mask: Callable[..., np.ndarray], *columns: str) -> DataFrame:
+    """The rows of df for which mask(arrays of the columns) holds; all columns stay as they are, whatever their names."""
+    workers_see_package(spark)
+    places = [place_of(df, c) for c in columns]
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(np.asarray(mask(*[batch.column(i) for i in places]), bool)))
+
+    return flat.mapInArrow(each, flat.schema).toDF(*df.columns)
+
+
+def extend(spark: SparkSession, df: DataFrame, schema: str, work: Callable[..., dict], *columns: str) -> DataFrame:
+    """df's columns as _0, _1 ..., and those that work(arrays of the columns) makes."""
+    places = [place_of(df, c) for c in columns]
+    flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    whole = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in flat.schema], schema])
+    return per_batch(spark, flat, whole, lambda batch: {name: batch.column(i) for i, name in enumerate(batch.schema.names)} | work(*[batch.column(i) for i in places]))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import as_texts, documents, per_batch, runs
+from strata.llm.common import as_texts, documents, keep_rows, per_batch, runs
 
 UNKNOWN = "und"
 
@@ -180,3 +180,21 @@ def language_id(spark: SparkSession, df: DataFrame, settings: Settings | None =
     docs = documents(df, id_col, text_col, lang=lang_col)
     model = train(spark, docs, ~held_out(F.col("doc_id")), settings)
     return identify(spark, docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")), model)
+
+
+def keep_identified(spark: SparkSession, df: DataFrame, least: float = 0.4, settings: Settings | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of df whose language is found with a score of `least` or more; all columns stay. The model learns from df's labels.
+
+    Where no row is labelled there is no model to reject by, and only rows without a letter go.
+    """
+    model = train(spark, documents(df, id_col, text_col, lang=lang_col), F.lit(True), settings)
+    shared = spark.sparkContext.broadcast(model)
+
+    def good(column: pa.Array) -> np.ndarray:
+        texts = as_texts(column)
+        if not shared.value.languages:
+            return np.array([any(map(str.isalpha, t)) for t in texts])
+        parts = [shared.value.score(part) for run in runs(texts, 1 << 20) for part in few(texts[run])]
+        return np.array([name != UNKNOWN for p, _ in parts for name in p]) & (np.concatenate([q for _, q in parts]) >= least)
+
+    return keep_rows(spark, df, good, text_col)

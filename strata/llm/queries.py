@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import language_id, media, packing, quality_rules, secret_scan, sentence_pieces, sharding, simhash_dedup, token_counts
+from strata.llm import language_id, media, packing, quality_classifier, quality_rules, secret_scan, sentence_pieces, sharding, simhash_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,12 +48,16 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharding(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_classifier(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_id(spark, table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_sentence_pieces, op4_quality_rules, op5_secret_scan, op6_simhash_dedup, op7_packing, op8_sharding, op10_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op2_media, op3_sentence_pieces, op4_quality_rules, op5_secret_scan, op6_simhash_dedup, op7_packing, op8_sharding, op9_quality_classifier, op10_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -20,14 +20,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import as_bytes, documents, per_batch, runs, settle, sums
+from strata.llm.common import as_bytes, documents, extend, per_batch, place_of, runs, settle, sums
 
 BITS = 64
-#: Stands for the doc_id of a class without one, whose component is null.
-NO_ID = -(1 << 63)
+#: From here on, numbers stand for documents without doc_id, by fingerprint; they name no component.
+NO_ID = (1 << 63) - (1 << 61)
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -47,20 +47,16 @@ def fingerprint_of(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > counts[:, None], axis=1).view(">u8").ravel().astype(np.int64)
 
 
-def fingerprints(spark: SparkSession, docs: DataFrame, width: int = 3, seed: int = 42) -> DataFrame:
-    """doc_id and fp, the fingerprint's bits as a long; docs: doc_id, text."""
-
-    def work(batch: pa.RecordBatch) -> dict:
-        texts = as_bytes(batch.column("text"))
-        parts = [np.zeros(0, np.int64)]
-        for run in runs(texts, 1 << 20):
-            lists = [shingles(t, width) for t in texts[run]]
-            counts = np.fromiter(map(len, lists), np.int64, len(lists))
-            hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for x in lists for s in x), np.uint64, int(counts.sum()))
-            parts.append(fingerprint_of(hashes, counts))
-        return {"doc_id": batch.column("doc_id"), "fp": np.concatenate(parts)}
-
-    return per_batch(spark, docs, "doc_id long, fp long", work)
+def fingerprints(column: pa.Array, width: int = 3, seed: int = 42) -> np.ndarray:
+    """The fingerprint's bits of each text, as a signed integer."""
+    texts = as_bytes(column)
+    parts = [np.zeros(0, np.int64)]
+    for run in runs(texts, 1 << 20):
+        lists = [shingles(t, width) for t in texts[run]]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for x in lists for s in x), np.uint64, int(counts.sum()))
+        parts.append(fingerprint_of(hashes, counts))
+    return np.concatenate(parts)
 
 
 def masks(blocks: int, distance: int) -> list[int]:
@@ -133,10 +129,31 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def key_of(doc_id: str, fp: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID) + F.col(fp).bitwiseAND(F.lit((1 << 61) - 1)))
+
+
+def grouped(spark: SparkSession, docs: DataFrame, distance: int, blocks: int, most: int) -> DataFrame:
+    """fp, rep and root of each class of equal fingerprints; docs: key, fp."""
+    classes = settle(spark, docs.groupBy("fp").agg(F.min("key").alias("rep")), "classes")
+    roots = components(spark, links(spark, classes, distance, blocks, most))
+    return classes.join(roots, classes.rep == roots.node, "left").select("fp", "rep", F.coalesce("root", "rep").alias("root"))
+
+
 def simhash_dedup(spark: SparkSession, df: DataFrame, distance: int = 2, width: int = 3, blocks: int = 4, most: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint and component_id, the smallest doc_id that links reach."""
-    docs = settle(spark, fingerprints(spark, documents(df, id_col, text_col), width), "fingerprints")
-    classes = settle(spark, docs.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("rep")), "classes")
-    roots = components(spark, links(spark, classes.select("rep", "fp"), distance, blocks, most))
-    named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.nullif(F.coalesce("root", "rep"), F.lit(NO_ID)).alias("component_id"))
-    return docs.join(named, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    made = extend(spark, documents(df, id_col, text_col), "fp long", lambda texts: {"fp": fingerprints(texts, width)}, "text")
+    docs = settle(spark, made.select(F.col("_0").alias("doc_id"), "fp"), "fingerprints")
+    named = grouped(spark, docs.select(key_of("doc_id", "fp").alias("key"), "fp"), distance, blocks, most)
+    return docs.join(named, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
+
+
+def keep_one_of_each(spark: SparkSession, df: DataFrame, distance: int = 2, width: int = 3, blocks: int = 4, most: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df that are the first of their component, by doc_id; of rows of one doc_id, one. All columns stay."""
+    key = f"_{place_of(df, id_col)}"
+    made = extend(spark, df, "fp long", lambda texts: {"fp": fingerprints(texts, width)}, text_col)
+    docs = settle(spark, made.withColumn("key", key_of(key, "fp")), "fingerprints")
+    named = grouped(spark, docs.select("key", "fp"), distance, blocks, most)
+    first = docs.join(named.where("root = rep").select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
+    one = first.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("fp"))).where("nth = 1")
+    return one.select(*[f"_{i}" for i in range(len(df.columns))]).toDF(*df.columns)

@@ -10,6 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.blas import one_thread
 from strata.functions.scores import unit_weights
 from strata.operators.graph import adjacency, walk_matrix
 from strata.tables import settle
@@ -51,13 +52,15 @@ def walk_of(a: np.ndarray) -> np.ndarray:
 def restart_matrix(a: np.ndarray, beta: float) -> np.ndarray:
     """beta (I - (1 - beta) W)^-1."""
     eye = np.eye(len(a))
-    return beta * np.linalg.solve(eye - (1 - beta) * walk_of(a), eye)
+    with one_thread():
+        return beta * np.linalg.solve(eye - (1 - beta) * walk_of(a), eye)
 
 
 def heat_matrix(a: np.ndarray, t: float) -> np.ndarray:
     """exp(-t L) of a symmetric network."""
-    values, vectors = np.linalg.eigh(np.diag(a.sum(0)) - a)
-    return (vectors * np.exp(-t * values)) @ vectors.T
+    with one_thread():
+        values, vectors = np.linalg.eigh(np.diag(a.sum(0)) - a)
+        return (vectors * np.exp(-t * values)) @ vectors.T
 
 
 def long_form(spark: SparkSession, names: list, matrix: np.ndarray) -> DataFrame:

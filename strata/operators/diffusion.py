@@ -86,26 +86,28 @@ def balance_of(similarity: DataFrame, adj: DataFrame, limit: float = 1.0) -> Dat
 
 
 def ridder(f: Callable[[float], float], low: float, high: float, tolerance: float, most_rounds: int = 100) -> float:
-    """A root of f between low and high by Ridders' method."""
+    """A root of f between low and high by Ridders' method; a step stays half the tolerance within the interval, as in common libraries."""
     f_low, f_high = f(low), f(high)
     if not f_low or not f_high:
         return low if not f_low else high
     if f_low * f_high > 0:
         raise ValueError("no change of sign")
+    allowed = tolerance
     for _ in range(most_rounds):
-        middle = (low + high) / 2
+        half = (high - low) / 2
+        middle = low + half
         f_middle = f(middle)
-        new = middle + (middle - low) * math.copysign(1, f_low - f_high) * f_middle / math.sqrt(f_middle**2 - f_low * f_high)
+        step = math.copysign(half, f_high - f_low) * f_middle / math.sqrt(f_middle**2 - f_low * f_high)
+        new = middle - math.copysign(min(abs(step), abs(half) - allowed / 2), step)
         f_new = f(new)
-        if not f_new:
-            return new
         if f_middle * f_new < 0:
-            low, f_low, high, f_high = middle, f_middle, new, f_new
+            low, f_low, high, f_high = new, f_new, middle, f_middle
         elif f_low * f_new < 0:
             high, f_high = new, f_new
         else:
             low, f_low = new, f_new
-        if abs(high - low) < tolerance:
+        allowed = tolerance + 4 * np.finfo(float).eps * new
+        if not f_new or abs(high - low) < allowed:
             return new
     raise ValueError("no root found")
 

@@ -50,9 +50,13 @@ def widest_paths(s: np.ndarray) -> np.ndarray:
     return k
 
 
-def merge_matrix(s: np.ndarray, legacy: bool = False) -> np.ndarray:
-    """m of a dense matrix; legacy: weights are reflected in single precision first, which joins near ties."""
-    s = np.array(s, np.float32 if legacy else np.asarray(s).dtype)
+def merge_matrix(s: np.ndarray, single: bool = False, legacy: bool = False) -> np.ndarray:
+    """m of a dense matrix.
+
+    single: weights are rounded to single precision, so that those that differ by errors of arithmetic only are equal.
+    legacy: they are reflected there too, which joins some more near ties.
+    """
+    s = np.array(s, np.float32 if single or legacy else np.asarray(s).dtype)
     np.fill_diagonal(s, 0)
     if legacy and s.size:
         top = np.float32(2) * s.max()
@@ -83,7 +87,7 @@ CURVE = "height double, size int"
 MERGE = "u {0}, v {0}, h double"
 
 
-def hierarchies(spark: SparkSession, scores: DataFrame, names: list, matrix: np.ndarray, what: str = "curve", run: tuple[str, ...] = ("run",), legacy: bool = False) -> DataFrame:
+def hierarchies(spark: SparkSession, scores: DataFrame, names: list, matrix: np.ndarray, what: str = "curve", run: tuple[str, ...] = ("run",), single: bool = False, legacy: bool = False) -> DataFrame:
     """Curves (run, height, size) or merges (run, u, v, h) of S = matrix * score of the column, for every run at once.
 
     scores: run, node, score. One group is one run's scores, at most as many as the matrix has rows; the matrix is
@@ -100,7 +104,7 @@ def hierarchies(spark: SparkSession, scores: DataFrame, names: list, matrix: np.
         place = {x: k for k, x in enumerate(all_names)}
         own = group[group["node"].isin(place)].sort_values("node")
         at = own["node"].map(place).to_numpy(int)
-        m = merge_matrix(p[np.ix_(at, at)] * own["score"].to_numpy(float)[None, :], legacy)
+        m = merge_matrix(p[np.ix_(at, at)] * own["score"].to_numpy(float)[None, :], single, legacy)
         block = largest_block(m)
         m, nodes = m[np.ix_(block, block)], own["node"].to_numpy()[block]
         if what == "curve":

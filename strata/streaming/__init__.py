@@ -1,0 +1,24 @@
+"""Runs that arrive over time: a folder of permuted scores is read as a stream, and curves are added to a store."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from strata.operators import hierarchy
+from strata.sources.store import ParquetStore
+
+
+def score_runs(spark: SparkSession, folder: str, node: str = "string") -> DataFrame:
+    """A stream of rows run, node, score from Parquet files that come into a folder. A run's rows come in one file or more, at one time."""
+    return spark.readStream.schema(f"run int, node {node}, score double").parquet(folder)
+
+
+def add_curves(spark: SparkSession, runs: DataFrame, names: list, matrix: np.ndarray, store: ParquetStore, checkpoint: str) -> StreamingQuery:
+    """For each batch of new runs, add the curves of their hierarchies. A batch that is repeated after a failure replaces its own partitions."""
+
+    def add(batch: DataFrame, _: int) -> None:
+        store.put(hierarchy.hierarchies(spark, batch, names, matrix))
+
+    return runs.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,20 +1,16 @@
-"""What the operators share: column picking, tables in the shared folder, and Arrow batches of texts."""
+"""What the operators share: column picking and Arrow batches of texts."""
 
 from __future__ import annotations
 
-import atexit
-import functools
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.tables import forget, settle, shared_folder, workers_see_package  # noqa: F401
+
 #: Texts are worked on in runs of about this many bytes, which bounds the arrays made per byte.
 RUN_BYTES = 4 << 20
 #: A worker forgets what it knows of distinct chunks beyond this many.
@@ -46,53 +42,6 @@ def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **m
     return out.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
 
 
-def workers_see_package(spark: SparkSession) -> None:
-    """Python workers started from now on can import this package from where the driver has it."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one only where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or _own_folder()).rstrip("/")
-
-
-@functools.cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="strata-shared-")
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def settle(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back: work is done once, and lost executors lose none of it.
-
-    The files go when the driver's Python ends, or with forget().
-    """
-    path = f"{shared_folder(spark)}/strata/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def forget() -> None:
-    """Delete the tables that settle() has written."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended before
-            return
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null: empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.blas import one_thread
 from strata.llm.common import as_texts, documents, keep_rows, per_batch, runs
 
 UNKNOWN = "und"
@@ -56,11 +57,9 @@ def presence(texts: list[str], s: Settings) -> np.ndarray:
     sizes = np.fromiter(map(len, lower), np.int64, len(lower)) + 1
     points = letters()[np.frombuffer("\0".join([*lower, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)]
     row = np.repeat(np.arange(len(texts)), sizes)
-    # one space between words, and one at each end of a text
-    limit = np.cumsum(sizes) - 1
+    # one space after each word
     keep = points > 0
     keep[1:] |= points[:-1] > 0
-    keep[limit] = True
     points, row = points[keep].astype(np.uint64), row[keep]
     shift = np.uint64(64 - (s.cells - 1).bit_length())
     code = np.zeros(len(points), np.uint64)
@@ -109,7 +108,8 @@ def fit(cells: list[np.ndarray], names: list[str], s: Settings) -> Model:
     norm = np.sqrt(np.array([len(c) for c in cells], float))
     marks = dense(chosen) / norm[chosen][:, None].astype(np.float32)
     kernel = np.concatenate([dense([*range(a, min(a + 128, len(cells)))]) @ marks.T for a in range(0, len(cells), 128)]) / norm[:, None]
-    values, vectors = np.linalg.eigh(kernel[chosen])
+    with one_thread():
+        values, vectors = np.linalg.eigh(kernel[chosen])
     good = values > 1e-6 * values.max()
     whiten = vectors[:, good] / np.sqrt(values[good])
     mapped = kernel @ whiten
@@ -118,7 +118,8 @@ def fit(cells: list[np.ndarray], names: list[str], s: Settings) -> Model:
     share = np.array([names.count(lang) for lang in languages]) / len(names)
     weight = (1 / (len(languages) * share))[[languages.index(x) for x in names]]  # every language counts the same
     around = mapped - middle
-    solved = np.linalg.solve(around.T @ (around * weight[:, None]) + s.ridge * np.eye(mapped.shape[1]), around.T @ ((target - target.mean(0)) * weight[:, None]))
+    with one_thread():
+        solved = np.linalg.solve(around.T @ (around * weight[:, None]) + s.ridge * np.eye(mapped.shape[1]), around.T @ ((target - target.mean(0)) * weight[:, None]))
     return Model(languages, (marks.T @ (whiten @ solved)).astype(np.float32), target.mean(0) - middle @ solved, s)
 
 

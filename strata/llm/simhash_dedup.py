@@ -23,7 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import as_bytes, documents, extend, per_batch, place_of, runs, settle, sums
+from strata.llm.common import as_bytes, documents, extend, place_of, runs, settle, sums
+from strata.operators.graph import components
 
 BITS = 64
 #: From here on, numbers stand for documents without doc_id, by fingerprint; they name no component.
@@ -97,34 +98,6 @@ def _flips(most: int) -> list[int]:
     return [signed(sum(1 << b for b in bits)) for k in range(most + 1) for bits in combinations(range(BITS), k)]
 
 
-def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node and root, its component's least node, for nodes of the edges u > v.
-
-    Large and small stars by turns (Kiveris and others, 2014): each round joins every edge with the least neighbour of
-    its node and writes the edges to the shared folder, so no task holds all neighbours of a node.
-    """
-    edges = settle(spark, edges.select("u", "v").distinct(), "links")
-    for _ in range(most_rounds):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select("u", "v", "m")
-        after = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        after = settle(spark, after, "links")
-        if not _differ(edges, after):
-            break
-        edges = after
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-
-
-def _differ(a: DataFrame, b: DataFrame) -> bool:
-    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return mark(a) != mark(b)
-
-
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators.ranking import numbered
 from strata.tables import settle
 
 
@@ -65,7 +66,7 @@ def drop_isolated_nodes(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame,
         return edges, nodes
     names = [r["gene"] for r in lost.orderBy("gene").limit(10).collect()]
     warnings.warn(f"{n} nodes without edges are dropped: {', '.join(names)}", UserWarning, stacklevel=2)
-    kept = reindex(nodes.join(_endpoints(edges), "idx", "left_semi"))
+    kept = numbered(nodes.sparkSession, nodes.join(_endpoints(edges), "idx", "left_semi"), "idx", "new")
     number = kept.select(F.col("idx").alias("old"), "new")
     for end in ("src", "dst"):
         edges = edges.join(number.withColumnRenamed("old", end), end).drop(end).withColumnRenamed("new", end)
@@ -73,11 +74,6 @@ def drop_isolated_nodes(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame,
     return edges.select("src", "dst", *rest), kept.select(F.col("new").alias("idx"), "gene")
 
 
-def reindex(nodes: DataFrame) -> DataFrame:
-    """nodes with `new`: 1, 2 ... in the order of idx. A node table names every row of a matrix, and is ordered as one."""
-    return nodes.withColumn("new", F.row_number().over(Window.orderBy("idx")))
-
-
 def _endpoints(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("idx")).distinct()
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from strata.functions.scores import transform
 from strata.operators import consensus, diffusion, graph, hierarchy, null_model, statistics
 from strata.plans.config import PipelineConfig
+from strata.plans.steps import step
 from strata.sources import store as stores
 from strata.sources import text
 from strata.tables import settle
@@ -48,7 +49,8 @@ def run_pipeline(spark: SparkSession, edges: DataFrame, nodes: DataFrame, scores
         edges = edges.withColumn("weight", F.lit(1.0))
     edges, nodes = graph.drop_isolated_nodes(settle(spark, edges, "edges"), settle(spark, nodes, "nodes"))
     sim = config.similarity
-    numbers, matrix, beta = diffusion.similarity(spark, edges, sim.directed, sim.beta, sim.threshold, sim.num_digits, sim.use_edge_weights)
+    with step("similarity"):
+        numbers, matrix, beta = diffusion.similarity(spark, edges, sim.directed, sim.beta, sim.threshold, sim.num_digits, sim.use_edge_weights)
     gene_of = {r["idx"]: r["gene"] for r in nodes.collect()}  # as many as the dense matrix has rows
     genes = [gene_of[k] for k in numbers]
     pairs = settle(spark, graph.gene_edges(edges, nodes), "pairs")
@@ -62,10 +64,11 @@ def run_pipeline(spark: SparkSession, edges: DataFrame, nodes: DataFrame, scores
         done = stores.ParquetStore(spark, f"{folder}/{label}/curves") if folder else stores.MemoryStore()
         wanted = stores.missing(spark, done, runs)
         if wanted:
-            permuted = _permuted(spark, pairs, own, wanted, config)
-            used = transform(permuted, config.hierarchy.score_threshold, config.hierarchy.log_transform)
-            made = hierarchy.hierarchies(spark, used, genes, matrix, "curve", **heights)
-            done.put(settle(spark, made, "curves"))
+            with step(f"permutations and hierarchies of {label}"):
+                permuted = _permuted(spark, pairs, own, wanted, config)
+                used = transform(permuted, config.hierarchy.score_threshold, config.hierarchy.log_transform)
+                made = hierarchy.hierarchies(spark, used, genes, matrix, "curve", **heights)
+                done.put(settle(spark, made, "curves"))
         curves = done.table().where(F.col("run").isin(runs)).select(F.when(F.col("run") == 0, 0).otherwise(F.col("run") - config.permutation.seed_offset).cast("int").alias("run"), "height", "size")
         curves = settle(spark, curves, "curves")
         found = statistics.process(curves, config.statistics.lower_size_bound, config.statistics.upper_size_bound).first().asDict()

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.operators.ranking import numbered
+
 NAMES = string.ascii_lowercase[:25]
 
 # The second score set of the example.
@@ -34,7 +36,7 @@ def example_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]
 def from_pairs(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """edges(src, dst, weight) and nodes(idx, gene) of a table u, v and, if there, weight: names are numbered from 1 in their order."""
     names = pairs.select(F.explode(F.array("u", "v")).alias("gene")).distinct()
-    nodes = names.select(F.row_number().over(Window.orderBy("gene")).alias("idx"), "gene")
+    nodes = numbered(pairs.sparkSession, names, "gene", "idx").select("idx", "gene")
     weight = F.coalesce(F.col("weight").cast("double"), F.lit(1.0)) if "weight" in pairs.columns else F.lit(1.0)
     a, b = nodes.select(F.col("gene").alias("u"), F.col("idx").alias("src")), nodes.select(F.col("gene").alias("v"), F.col("idx").alias("dst"))
     return pairs.join(a, "u").join(b, "v").select("src", "dst", weight.alias("weight")), nodes

@@ -193,3 +193,27 @@ def test_text_files(spark, tmp_path):
     (tmp_path / "bad").write_text("1 z\n")
     with pytest.raises(Exception, match="no integer"):
         text.load_edge_list(spark, str(tmp_path / "bad")).collect()
+
+
+def test_numbers_of_a_table_in_many_ranges(spark):
+    from strata.operators.ranking import numbered
+
+    table = spark.range(0, 1000, 7).repartition(9)
+    assert [r["n"] for r in numbered(spark, table, "id", "n").orderBy("id").collect()] == [*range(1, 144)]
+    assert numbered(spark, table.limit(0), "id", "n").count() == 0
+
+
+def test_names_are_numbered_in_their_order(spark):
+    edges, nodes = toy.from_pairs(spark.createDataFrame([("c", "a"), ("b", "c")], "u string, v string"))
+    assert sorted(map(tuple, nodes.collect())) == [(1, "a"), (2, "b"), (3, "c")]
+    assert sorted(map(tuple, edges.collect())) == [(2, 3, 1.0), (3, 1, 1.0)]
+
+
+def test_steps_name_what_fails(caplog):
+    from strata.plans.steps import step, verbose
+
+    verbose()
+    with pytest.raises(ZeroDivisionError) as e, step("dividing"):
+        1 / 0
+    assert e.value.__notes__ == ["in dividing"]
+    verbose(False)

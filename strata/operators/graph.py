@@ -90,6 +90,7 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
     its node and writes the edges to the shared folder, so no task holds all neighbours of a node.
     """
     edges = settle(spark, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
+    mark = _mark(edges, "u", "v")
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -97,15 +98,16 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = settle(spark, small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        if not _differ(edges, after, "u", "v"):
+        before, mark = mark, _mark(after, "u", "v")
+        if mark == before:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
         edges = after
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _differ(a: DataFrame, b: DataFrame, *columns: str) -> bool:
-    mark = lambda df: df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("h")).first()
-    return mark(a) != mark(b)
+def _mark(df: DataFrame, *columns: str) -> tuple:
+    """Count and sum of hashes of the rows: equal for equal tables."""
+    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first())
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -155,10 +157,12 @@ def strong_components(spark: SparkSession, edges: DataFrame, most_rounds: int =
 
 
 def _spread(spark: SparkSession, colour: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:
+    mark = _mark(colour, "node", "c")
     for _ in range(most_rounds):
         came = edges.join(colour.select(F.col("node").alias("u"), "c"), "u").select(F.col("v").alias("node"), "c")
         after = settle(spark, colour.unionByName(came).groupBy("node").agg(F.min("c").alias("c")), "colours")
-        if not _differ(colour, after, "node", "c"):
+        before, mark = mark, _mark(after, "node", "c")
+        if mark == before:
             return after
         colour = after
     raise RuntimeError(f"colours did not settle in {most_rounds} rounds")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,9 +14,11 @@ from pyspark.sql import functions as F
 from strata.tables import forget, settle, shared_folder, workers_see_package  # noqa: F401
 
 #: Texts are worked on in runs of about this many bytes, which bounds the arrays made per byte.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 2 << 20
+#: Rows of a batch between Spark and Python where the session has the default, which is meant for narrower rows than texts.
+BATCH_ROWS = 2000
 #: A worker forgets what it knows of distinct chunks beyond this many.
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES = 400_000
 
 
 def narrow(df: DataFrame, **wanted: str) -> DataFrame:
@@ -79,9 +83,23 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def prepare(spark: SparkSession) -> None:
+    """What Python workers need: the package, and batches that suit texts."""
+    workers_see_package(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: workers are used again, by other stages too."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def per_batch(spark: SparkSession, df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """mapInArrow with a function from a batch to columns of the schema."""
-    workers_see_package(spark)
+    prepare(spark)
     arrow = to_arrow(spark, schema)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,6 +107,7 @@ def per_batch(spark: SparkSession, df: DataFrame, schema: str, work: Callable[[p
             if batch.num_rows:
                 made = work(batch)
                 yield pa.RecordBatch.from_arrays([made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type, from_pandas=False) for f in arrow], schema=arrow)
+        give_back()
 
     return df.mapInArrow(each, schema)
 
@@ -102,7 +121,7 @@ def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
 
 def keep_rows(spark: SparkSession, df: DataFrame, mask: Callable[..., np.ndarray], *columns: str) -> DataFrame:
     """The rows of df for which mask(arrays of the columns) holds; all columns stay as they are, whatever their names."""
-    workers_see_package(spark)
+    prepare(spark)
     places = [place_of(df, c) for c in columns]
     flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
 
@@ -110,6 +129,7 @@ def keep_rows(spark: SparkSession, df: DataFrame, mask: Callable[..., np.ndarray
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(np.asarray(mask(*[batch.column(i) for i in places]), bool)))
+        give_back()
 
     return flat.mapInArrow(each, flat.schema).toDF(*df.columns)
 

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import CACHE_ENTRIES, as_texts, documents, per_batch, ranges, runs, settle, sums, to_arrow, workers_see_package
+from strata.llm.common import CACHE_ENTRIES, as_texts, documents, give_back, per_batch, prepare, ranges, runs, settle, sums, to_arrow
 
 #: A space that neither begins its run of white space nor comes before a word. Here more counts as white space than where texts are split.
 INNER_SPACE = re.compile(r"\s (?!\S)")
@@ -106,7 +106,7 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def store_ids(spark: SparkSession, docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """Each document's ids, as unsigned 16- or 32-bit integers, and its start among those of its partition."""
-    workers_see_package(spark)
+    prepare(spark)
     arrow = to_arrow(spark, STORED)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,6 +128,8 @@ def store_ids(spark: SparkSession, docs: DataFrame, path: str, end_id: int) -> D
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(at + starts), pa.array(n), ids], schema=arrow)
                 at += int(ends[-1])
                 done += len(n)
+        encoder(path).clear()
+        give_back()
 
     return settle(spark, docs.mapInArrow(each, STORED), "ids")
 

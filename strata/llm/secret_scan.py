@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.automata import Automaton, compile_patterns, matches, resets, scan
-from strata.llm.common import as_bytes, documents, narrow, per_batch, runs, workers_see_package
+from strata.llm.common import as_bytes, documents, give_back, per_batch, prepare, runs
 
 #: Bytes of a piece, up to the next byte where a text can be cut.
 PIECE = 256
@@ -152,7 +152,7 @@ def redact(spark: SparkSession, df: DataFrame, rules: tuple[Rule, ...] = RULES,
 
     Overlapping spans are one, marked as the first. Null texts stay null; columns keep their order and types.
     """
-    workers_see_package(spark)
+    prepare(spark)
     s = spark.sparkContext.broadcast(scanner(rules))
     names = df.columns
     flat = df.toDF(*[f"_{i}" for i in range(len(names))])
@@ -183,5 +183,6 @@ def redact(spark: SparkSession, df: DataFrame, rules: tuple[Rule, ...] = RULES,
                 old = columns[count]
                 columns[count] = pa.array([len(t.decode()) if c else o for t, c, o in zip(new, changed, old.to_pylist())], old.type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        give_back()
 
     return flat.mapInArrow(each, flat.schema).toDF(*names)

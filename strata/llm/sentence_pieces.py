@@ -25,12 +25,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm.common import CACHE_ENTRIES, as_texts, documents, per_batch, ranges, runs, sums
+from strata.llm.common import as_texts, documents, per_batch, ranges, runs, sums
 
 MARK = "▁"
 NONE = -1
 #: Characters that are indexed together.
 INDEXED = 1 << 20
+#: Chunks are dearer to encode here than elsewhere, so more of them are remembered.
+REMEMBERED = 800_000
 
 
 class Pieces:
@@ -146,7 +148,7 @@ class Pieces:
         known = [self.may.get(k) for k in keys.tolist()]
         new = [i for i, x in enumerate(known) if x is None]
         if new:
-            if len(self.may) > 5 * CACHE_ENTRIES:
+            if len(self.may) > 2 * REMEMBERED:
                 self.may = {}
             for i, x in zip(new, self.follow(keys[new] // self.size, keys[new] % self.size).tolist()):
                 known[i] = self.may[int(keys[i])] = x
@@ -227,7 +229,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        if len(self.code) > CACHE_ENTRIES:
+        if len(self.code) > REMEMBERED:
             self.clear()
         lists = [t.replace(MARK, " ").split(" ") if t else [] for t in texts]
         self.learn({f for x in lists for f in x if f})

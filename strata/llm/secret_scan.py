@@ -3,7 +3,8 @@
 All rules are compiled into one automaton of transition arrays (see automata.py). Texts are cut where a byte brings
 every state back to the start, so thousands of pieces are scanned at once, one byte of each a step: all rules in one
 pass over the bytes. Only pieces in which a rule has matched are looked at again, with that rule's own automaton, for
-the limits of its leftmost non-overlapping matches.
+the limits of its leftmost non-overlapping matches. A rule with a head is found by it, and its whole pattern, which may
+go over cuts, is then matched in the whole text.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated results; spans of different kinds may
 overlap, and equal starts are ordered as the kinds are listed. Positions count code points, ends are exclusive.
@@ -33,7 +34,7 @@ class Rule:
     """A match counts if it has at least `least` bytes after what `prefix` matches at its start.
 
     A match that fails has still used up its bytes. Lengths are better held here than in the pattern: counters of
-    several rules multiply the states of the combined automaton.
+    several rules multiply the states of the combined automaton. `head` is the pattern of how every match starts.
     """
 
     kind: str
@@ -41,6 +42,7 @@ class Rule:
     any_case: bool = False
     prefix: str = ""
     least: int = 0
+    head: str = ""
 
 
 # The form of assignments, and the published forms of providers' keys.
@@ -50,13 +52,17 @@ BASE = (
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}"),
 )
+PEM_HEAD = r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+#: Up to the END line whatever is between, without it as far as headers and base64 go.
+PEM_BODY = r"[A-Za-z0-9+/=:,\x20\t\r\n\\]"
+PEM_REST = rf"(?:[^-]*(?:-[^-]+)*-----END [A-Z ]*PRIVATE KEY-----|{PEM_BODY}*(?:-{PEM_BODY}+)*)"
 ADDED = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", least=15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", least=39),
     Rule("stripe", r"[sr]k_(?:live|test)_[A-Za-z0-9]+", least=24),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", PEM_HEAD + PEM_REST, head=PEM_HEAD),
 )
 RULES = BASE + ADDED
 
@@ -71,8 +77,9 @@ class Scanner:
 
 def scanner(rules: tuple[Rule, ...] = RULES) -> Scanner:
     """Compile the rules; done once, on the driver."""
-    combined = compile_patterns([(r.pattern, r.any_case) for r in rules], anywhere=True)
-    return Scanner(rules, combined, tuple(compile_patterns([(r.pattern, r.any_case)], anywhere=False) for r in rules), resets(combined))
+    starts = [(r.head or r.pattern, r.any_case) for r in rules]
+    combined = compile_patterns(starts, anywhere=True)
+    return Scanner(rules, combined, tuple(compile_patterns([x], anywhere=False) for x in starts), resets(combined))
 
 
 def pieces(data: np.ndarray, offsets: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -95,14 +102,21 @@ def spans(texts: list[bytes], s: Scanner) -> list[list[tuple[int, int, int]]]:
     starts, ends = pieces(np.frombuffer(whole, np.uint8), offsets, s.cuts)
     found = scan(s.combined, np.frombuffer(whole, np.uint8), starts, ends - starts)
     keys = [re.compile(r.prefix.encode(), re.IGNORECASE) for r in s.rules]
+    headed: set[tuple[int, int]] = set()
     for p in np.flatnonzero(found):
         a, b = int(starts[p]), int(ends[p])
         text = int(np.searchsorted(offsets, a, side="right")) - 1
         for k, rule in enumerate(s.rules):
-            if found[p] >> k & 1:
+            if found[p] >> k & 1 and rule.head:
+                headed.add((text, k))
+            elif found[p] >> k & 1:
                 for i, j in matches(s.own[k], whole[a:b]):
                     if not rule.least or j - i - keys[k].match(whole, a + i).end() + a + i >= rule.least:
                         out[text].append((a + i - int(offsets[text]), k, a + j - int(offsets[text])))
+    for text, k in headed:
+        for m in re.finditer(s.rules[k].pattern.encode(), texts[text], re.IGNORECASE if s.rules[k].any_case else 0):
+            if m.end() - m.start() >= s.rules[k].least:
+                out[text].append((m.start(), k, m.end()))
     for x in out:
         x.sort()
     return out

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators.ranking import numbered
-from strata.tables import settle
+from strata.tables import release, settle, settle_marked, workers_see_package
+
+#: Edges, counted before, up to which one task finds components: some megabytes.
+IN_TASK = 20_000
 
 
 def canonical_edges(edges: DataFrame, u: str = "src", v: str = "dst") -> DataFrame:
@@ -83,31 +88,59 @@ def induced(edges: DataFrame, members: DataFrame, node: str = "node") -> DataFra
     return edges.join(members.select(F.col(node).alias("u")), "u", "left_semi").join(members.select(F.col(node).alias("v")), "v", "left_semi").select("u", "v")
 
 
-def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(spark: SparkSession, edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """node and root, its component's least node, for nodes of the edges (u, v); loops are left out.
 
     Large and small stars by turns (Kiveris and others, 2014): each round joins every edge with the least neighbour of
-    its node and writes the edges to the shared folder, so no task holds all neighbours of a node.
+    its node and writes the edges to the shared folder, so no task holds all neighbours of a node. A round is one job,
+    and the files of the round before go. Once no more than `in_task` edges are left, one task joins them.
     """
-    edges = settle(spark, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links")
-    mark = _mark(edges, "u", "v")
-    for _ in range(most_rounds):
+    edges, mark = settle_marked(spark, edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "links", "u", "v")
+    while True:
+        if mark[0] <= in_task:
+            return _in_one_task(spark, edges, "root", _joined)
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = settle(spark, small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        before, mark = mark, _mark(after, "u", "v")
-        if mark == before:
+        before, known = edges, mark
+        edges, mark = settle_marked(spark, small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links", "u", "v")
+        release(before)
+        if mark == known:
             return edges.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
-        edges = after
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
-def _mark(df: DataFrame, *columns: str) -> tuple:
-    """Count and sum of hashes of the rows: equal for equal tables."""
-    return tuple(df.agg(F.count("*"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first())
+def _in_one_task(spark: SparkSession, edges: DataFrame, name: str, work: Callable[[list, list], dict]) -> DataFrame:
+    """(node, <name>) by a kernel over few edges, counted before."""
+    workers_see_package(spark)
+    kind = dict(edges.dtypes)["u"]
+
+    def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        u, v = [], []
+        for batch in batches:
+            u += batch["u"].tolist()
+            v += batch["v"].tolist()
+        if found := work(u, v):
+            yield pd.DataFrame({"node": [*found.keys()], name: [*found.values()]})
+
+    return edges.select("u", "v").coalesce(1).mapInPandas(whole, f"node {kind}, {name} {kind}")
+
+
+def _joined(u: list, v: list) -> dict:
+    """Nodes that are not least in their component, and the least ones, by joining sets."""
+    up: dict = {}
+
+    def top(x):
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in zip(u, v):
+        low, high = sorted((top(a), top(b)))
+        up[high] = low
+    return {x: r for x in list(up) if (r := top(x)) != x}
 
 
 def connected_components(spark: SparkSession, edges: DataFrame) -> DataFrame:
@@ -123,49 +156,93 @@ def largest_component(members: DataFrame) -> DataFrame:
     return members.join(F.broadcast(top), "component", "left_semi").select("node")
 
 
-def strong_components(spark: SparkSession, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def strong_components(spark: SparkSession, edges: DataFrame, in_task: int = IN_TASK) -> DataFrame:
     """(node, component): the least node of the strongly connected component, for every node of the edges (u, v).
 
     Colouring: labels flow along the edges until each node has the least label that reaches it; the nodes of a colour
-    from which its label's own node is reached backwards are a component, and leave. Each step is a join on nodes.
+    from which its label's own node is reached backwards are a component, and leave. Nodes without an edge in or out are
+    components by themselves and leave before each round. Each step is a join on nodes; at least one component leaves in
+    each round, so there is no limit on rounds. Once no more than `in_task` edges are left, one task finds the rest.
     """
-    edges = settle(spark, edges.select("u", "v").where("u <> v").distinct(), "arcs")
-    rest = settle(spark, edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
+    edges, mark = settle_marked(spark, edges.select("u", "v").where("u <> v").distinct(), "arcs", "u", "v")
+    every = settle(spark, edges.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "nodes")
     done: list[DataFrame] = []
-    for _ in range(most_rounds):
-        if rest.isEmpty():
-            break
-        colour = _spread(spark, rest.withColumn("c", F.col("node")), edges, most_rounds)
+    while mark[0] > in_task:
+        on_path = edges.select("u").distinct().join(edges.select(F.col("v").alias("u")).distinct(), "u", "left_semi").select(F.col("u").alias("node"))
+        inner = settle(spark, on_path, "inner")
+        before, known = edges, mark
+        edges, mark = settle_marked(spark, induced(edges, inner), "arcs", "u", "v")
+        release(before)
+        if mark[0] < known[0]:
+            release(inner)
+            continue
+        colour = _spread(spark, inner.withColumn("c", F.col("node")), edges)
         own = edges.join(colour.select(F.col("node").alias("u"), F.col("c").alias("cu")), "u").join(colour.select(F.col("node").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").select(F.col("v").alias("u"), F.col("u").alias("v"))
-        back = settle(spark, own, "arcs")
-        found = colour.where("node = c").select("node", F.col("c").alias("component"))
-        while True:
-            more = found.select(F.col("node").alias("u"), "component").join(back, "u").select(F.col("v").alias("node"), "component").join(found.select("node"), "node", "left_anti").distinct()
-            more = settle(spark, more, "found")
-            if more.isEmpty():
-                break
-            found = settle(spark, found.unionByName(more), "found")
-        done.append(settle(spark, found, "found"))
-        rest = settle(spark, rest.join(found, "node", "left_anti"), "nodes")
-        edges = settle(spark, induced(edges, rest), "arcs")
-    else:
-        raise RuntimeError(f"strong components did not settle in {most_rounds} rounds")
-    out = done[0] if done else rest.select("node", F.col("node").alias("component"))
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _spread(spark: SparkSession, colour: DataFrame, edges: DataFrame, most_rounds: int) -> DataFrame:
-    mark = _mark(colour, "node", "c")
-    for _ in range(most_rounds):
+        back = settle(spark, own, "back")
+        found = more = settle(spark, colour.where("node = c").select("node", F.col("c").alias("component")), "found")
+        while not more.isEmpty():
+            next_ = more.select(F.col("node").alias("u"), "component").join(back, "u").select(F.col("v").alias("node"), "component").distinct()
+            more = settle(spark, next_.join(found.select("node"), "node", "left_anti"), "found")
+            found = found.unionByName(more)
+        found = settle(spark, found, "found")
+        done.append(found)
+        rest = settle(spark, colour.select("node").join(found, "node", "left_anti"), "rest")
+        before = edges
+        edges, mark = settle_marked(spark, induced(edges, rest), "arcs", "u", "v")
+        release(before, back, colour, inner, rest)
+    named = _in_one_task(spark, edges, "component", _strong)
+    for more in done:
+        named = named.unionByName(more)
+    return every.join(named, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _spread(spark: SparkSession, colour: DataFrame, edges: DataFrame) -> DataFrame:
+    """The least label that reaches each node."""
+    colour, mark = settle_marked(spark, colour, "colours", "node", "c")
+    while True:
         came = edges.join(colour.select(F.col("node").alias("u"), "c"), "u").select(F.col("v").alias("node"), "c")
-        after = settle(spark, colour.unionByName(came).groupBy("node").agg(F.min("c").alias("c")), "colours")
-        before, mark = mark, _mark(after, "node", "c")
-        if mark == before:
-            return after
-        colour = after
-    raise RuntimeError(f"colours did not settle in {most_rounds} rounds")
+        before, known = colour, mark
+        colour, mark = settle_marked(spark, colour.unionByName(came).groupBy("node").agg(F.min("c").alias("c")), "colours", "node", "c")
+        release(before)
+        if mark == known:
+            return colour
+
+
+def _strong(u: list, v: list) -> dict:
+    """The least node of each node's component, by two searches: nodes by the time they are left, then backwards from the last."""
+    out_of: dict = {}
+    into: dict = {}
+    for a, b in zip(u, v):
+        out_of.setdefault(a, []).append(b)
+        into.setdefault(b, []).append(a)
+    seen: set = set()
+    left = []
+    for start in {**out_of, **into}:
+        if start in seen:
+            continue
+        seen.add(start)
+        path = [(start, iter(out_of.get(start, ())))]
+        while path:
+            node, rest = path[-1]
+            after = next((x for x in rest if x not in seen), None)
+            if after is None:
+                left.append(node)
+                path.pop()
+            else:
+                seen.add(after)
+                path.append((after, iter(out_of.get(after, ()))))
+    named: dict = {}
+    for start in reversed(left):
+        if start in named:
+            continue
+        members, todo = {start}, [start]
+        while todo:
+            for x in into.get(todo.pop(), ()):
+                if x not in named and x not in members:
+                    members.add(x)
+                    todo.append(x)
+        named |= dict.fromkeys(members, min(members))
+    return named
 
 
 def threshold_edges(cells: DataFrame, limit: float, w: str = "w") -> DataFrame:

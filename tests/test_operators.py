@@ -1,16 +1,21 @@
 """Operators against plain versions, on small random inputs."""
 
 import math
+import os
 import warnings
 
 import numpy as np
 import pytest
 
+from strata import tables
 from strata.operators import consensus, diffusion, graph, hierarchy, null_model, statistics
 from strata.sources import text, toy
 
 # The seven-node digraph of Tarjan (1983).
-SEVEN = "ab10 ba12 bc30 dc6 de16 ed13 ef8 fa26 ag15 gb35 cg45 gc22 dg14 ge50 fg20"
+SEVEN = [
+    ("a", "b", 10), ("b", "a", 12), ("b", "c", 30), ("d", "c", 6), ("d", "e", 16), ("e", "d", 13), ("e", "f", 8), ("f", "a", 26),
+    ("a", "g", 15), ("g", "b", 35), ("c", "g", 45), ("g", "c", 22), ("d", "g", 14), ("g", "e", 50), ("f", "g", 20),
+]
 
 
 def strong(weights, limit):
@@ -44,7 +49,7 @@ def test_merge_matrix_is_the_hierarchy(n, seed):
 
 
 def test_closure_in_tables_equals_the_kernel(spark):
-    rows = [(x[0], x[1], int(x[2:])) for x in SEVEN.split()]
+    rows = SEVEN
     merged = hierarchy.merge(hierarchy.closure(spark, spark.createDataFrame(rows, "i string, j string, w int")))
     names = "abcdefg"
     w = np.zeros((7, 7))
@@ -57,13 +62,14 @@ def test_closure_in_tables_equals_the_kernel(spark):
     assert curve == hierarchy.size_steps(m)
 
 
-def test_strong_components(spark):
+@pytest.mark.parametrize("in_task", [0, 1000])
+def test_strong_components(spark, in_task):
     random = np.random.RandomState(4)
     edges = {(int(u), int(v)) for u, v in random.randint(0, 25, (45, 2)) if u != v}
     w = np.zeros((25, 25))
     for u, v in edges:
         w[u, v] = 1
-    found = graph.strong_components(spark, spark.createDataFrame(sorted(edges), "u int, v int")).collect()
+    found = graph.strong_components(spark, spark.createDataFrame(sorted(edges), "u int, v int"), in_task).collect()
     groups = {}
     for r in found:
         groups.setdefault(r["component"], set()).add(r["node"])
@@ -72,10 +78,38 @@ def test_strong_components(spark):
     assert all(min(g) == c for c, g in groups.items())
 
 
-def test_components_of_a_long_path_and_a_star(spark):
+def test_strong_components_of_a_path_and_of_a_chain_of_cycles(spark):
+    """Long ways: 5000 nodes in a row, and 3 triangles, each with an edge to the next, also by joins."""
+    found = graph.strong_components(spark, spark.createDataFrame([(k, k + 1) for k in range(4999)], "u int, v int")).collect()
+    assert len(found) == 5000 and all(r["node"] == r["component"] for r in found)
+    edges = [(3 * c + a, 3 * c + b) for c in range(3) for a, b in ((0, 1), (1, 2), (2, 0))] + [(3 * c + 2, 3 * c + 3) for c in range(2)] + [(18, 0), (8, 19)]
+    for in_task in (7, 1000):
+        found = {r["node"]: r["component"] for r in graph.strong_components(spark, spark.createDataFrame(edges, "u int, v int"), in_task).collect()}
+        assert found == {**{k: k // 3 * 3 for k in range(9)}, 18: 18, 19: 19}
+
+
+@pytest.mark.parametrize("in_task", [0, 1000])
+def test_components_of_a_long_path_and_a_star(spark, in_task):
     edges = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 140)]
-    found = {r["node"]: r["component"] for r in graph.connected_components(spark, spark.createDataFrame(edges, "u int, v int")).collect()}
-    assert found == {**dict.fromkeys(range(41), 0), **dict.fromkeys(range(100, 140), 100)}
+    found = {r["node"]: r["root"] for r in graph.components(spark, spark.createDataFrame(edges, "u int, v int"), in_task).collect()}
+    assert found == {**dict.fromkeys(range(1, 41), 0), **dict.fromkeys(range(101, 140), 100)}
+
+
+def test_tables_between_steps(spark):
+    """A cluster must name the folder; tables go when released, or with their owner."""
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            tables.own_folder(master)
+    assert tables.own_folder("local[4]").startswith("file:")
+    one, (n, _) = tables.settle_marked(spark, spark.range(5), "t", "id")
+    with tables.owned("test"):
+        two = tables.settle(spark, spark.range(3), "t")
+    three = tables.settle(spark, spark.range(2), "t")
+    assert n == one.count() == 5
+    there = lambda t: os.path.exists(t.settled_at.removeprefix("file://"))
+    tables.release(one, None, spark.range(1))
+    tables.forget("test")
+    assert [there(t) for t in (one, two, three)] == [False, False, True]
 
 
 def test_empty_tables(spark):

@@ -10,8 +10,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from strata.tables import forget, settle, shared_folder, workers_see_package  # noqa: F401
+from strata.tables import release, settle, workers_see_package  # noqa: F401
 
 #: Texts are worked on in runs of about this many bytes, which bounds the arrays made per byte.
 RUN_BYTES = 2 << 20
@@ -57,14 +58,18 @@ def as_texts(column: pa.Array) -> list[str]:
 
 def runs(texts: list, most: int = RUN_BYTES) -> Iterator[slice]:
     """Slices of consecutive texts of about `most` units together; a longer text stands alone."""
+    return runs_of(list(map(len, texts)), most)
+
+
+def runs_of(lengths: list[int], most: int = RUN_BYTES) -> Iterator[slice]:
     start, held = 0, 0
-    for i, text in enumerate(texts):
-        if held and held + len(text) > most:
+    for i, n in enumerate(lengths):
+        if held and held + n > most:
             yield slice(start, i)
             start, held = i, 0
-        held += len(text)
-    if start < len(texts):
-        yield slice(start, len(texts))
+        held += n
+    if start < len(lengths):
+        yield slice(start, len(lengths))
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -97,7 +102,7 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def per_batch(spark: SparkSession, df: DataFrame, schema: str, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+def per_batch(spark: SparkSession, df: DataFrame, schema: str | StructType, work: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """mapInArrow with a function from a batch to columns of the schema."""
     prepare(spark)
     arrow = to_arrow(spark, schema)
@@ -112,11 +117,10 @@ def per_batch(spark: SparkSession, df: DataFrame, schema: str, work: Callable[[p
     return df.mapInArrow(each, schema)
 
 
-def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
+def to_arrow(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def keep_rows(spark: SparkSession, df: DataFrame, mask: Callable[..., np.ndarray], *columns: str) -> DataFrame:
@@ -138,5 +142,5 @@ def extend(spark: SparkSession, df: DataFrame, schema: str, work: Callable[...,
     """df's columns as _0, _1 ..., and those that work(arrays of the columns) makes."""
     places = [place_of(df, c) for c in columns]
     flat = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
-    whole = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in flat.schema], schema])
+    whole = StructType([*flat.schema.fields, *StructType.fromDDL(schema).fields])
     return per_batch(spark, flat, whole, lambda batch: {name: batch.column(i) for i, name in enumerate(batch.schema.names)} | work(*[batch.column(i) for i in places]))

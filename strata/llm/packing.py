@@ -6,8 +6,8 @@ folder; the partitions' totals (a number each) give every partition's place in t
 cuts each document where windows of a fixed length end. Only the last sequence can be short.
 
 Defined results: null and empty texts are the end id alone; a document longer than a window is cut into as many pieces
-as it needs; repeated rows are packed as often as they come; an empty table has no pieces. Strings of special tokens in
-a text are ordinary text. The order follows the table's files and how Spark splits them, so it is the same on every
+as it needs; repeated rows are packed as often as they come; an empty table has no pieces. The string of a special token in
+a text is that token, as `tokenizers` has it. Long texts are encoded in windows. The order follows the table's files and how Spark splits them, so it is the same on every
 run and retry with the same settings. Columns other than those named are neither read nor returned.
 """
 
@@ -15,83 +15,126 @@ from __future__ import annotations
 
 import base64
 import functools
-import re
+import json
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import CACHE_ENTRIES, as_texts, documents, give_back, per_batch, prepare, ranges, runs, settle, sums, to_arrow
+from strata.llm.common import documents, give_back, per_batch, prepare, ranges, runs_of, settle, sums, to_arrow
 
+# White space of Unicode, as ranges of a regular expression.
+SPACES = r"\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 #: A space that neither begins its run of white space nor comes before a word. Here more counts as white space than where texts are split.
-INNER_SPACE = re.compile(r"\s (?!\S)")
+INNER_SPACE = rf"[{SPACES}] (?:[{SPACES}]|\z)"
+#: Words that may stand in one text with others without changing their ids have no white space at their ends.
+ENDS_IN_SPACE = rf"^[{SPACES}]|[{SPACES}]\z|^\z"
+#: Bytes of texts whose distinct words are encoded together.
+TOGETHER = 8 << 20
 LENGTH = 2048
 END_ID = 1
 
 
-def vocabulary_path(name: str = "byte_bpe_50k.tiktoken") -> str:
+def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
 class Encoder:
-    """Ids of texts by byte-level merges, remembering those of distinct chunks.
+    """Ids of texts by byte-level merges; each distinct word of a run of texts is encoded once.
 
     The split that precedes the merges keeps white space together but for a last space before a word, which goes with
     the word. So a text can be cut before a space that begins or ends its run of white space and is not the text's end
-    after others, and its ids are those of the chunks put together. Texts with other spaces are encoded whole.
+    after others, and its ids are those of the chunks put together. Texts with other spaces, and those with the string of
+    a special token, are encoded whole. The distinct chunks are encoded as one text, for the same reason; the lengths of
+    tokens in bytes tell which ids are whose.
     """
 
     def __init__(self, path: str):
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as file:
+        with open(path, encoding="utf-8") as file:
+            self.special = {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+        with open(path.removesuffix(".json") + ".tiktoken", "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
-        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.clear()
-
-    def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
-        self.used = 0
-        self.starts = self.lengths = np.zeros(0, np.int64)
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.code]
-        if not new:
-            return
-        lists = [self.encoding.encode_ordinary(c) for c in new]
-        lengths = np.fromiter(map(len, lists), np.int64, len(lists))
-        flat = np.fromiter((i for x in lists for i in x), np.int32, int(lengths.sum()))
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-        self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids.append(flat)
-        self.used += len(flat)
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ranks = {k: v for k, v in ranks.items() if v not in self.special.values()}
+        self.bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.bytes[[*ranks.values()]] = [*map(len, ranks)]
+        self.encoding = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and how many each text has."""
-        if len(self.code) > CACHE_ENTRIES:
-            self.clear()
-        lists = []
-        for t in texts:
-            if INNER_SPACE.search(t):
-                lists.append([t])
-            else:
-                first, *rest = t.split(" ")
-                lists.append([first, *[" " + x for x in rest]])
-        chunks = [c for x in lists for c in x]
-        self.learn(set(chunks))
-        codes = np.fromiter(map(self.code.__getitem__, chunks), np.int64, len(chunks))
-        self.ids = [np.concatenate(self.ids)] if self.ids else [np.zeros(0, np.int32)]
-        flat = self.ids[0][ranges(self.starts[codes], self.lengths[codes])]
-        return flat, sums(self.lengths[codes], np.fromiter(map(len, lists), np.int64, len(lists)))
+        texts = pc.fill_null(texts, "")
+        alone = pc.match_substring_regex(texts, INNER_SPACE)
+        for special in self.special:
+            alone = pc.or_(alone, pc.match_substring(texts, special))
+        whole = np.flatnonzero(alone.to_numpy(zero_copy_only=False)).tolist()
+        if not whole:
+            return self._windows(texts[0].as_py()) if len(texts) == 1 and len(texts[0].as_buffer()) > 2 * TOGETHER else self._chunked(texts)
+        flat, counts = self._chunked(pc.if_else(alone, "", texts))
+        ids = {i: np.array(self.encoding.encode(texts[i].as_py(), allowed_special="all"), np.int32) for i in whole}
+        ends = np.cumsum(counts).tolist()
+        parts = [ids.get(i, flat[b - n : b]) for i, (b, n) in enumerate(zip(ends, counts.tolist()))]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _chunked(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        split = pc.split_pattern(texts, " ")
+        pieces = np.diff(split.offsets.to_numpy())
+        words = split.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        first = np.zeros(len(at), bool)
+        first[np.cumsum(pieces) - pieces] = True  # the first piece of a text has no space before it
+        ids, used = [np.zeros(0, np.int32)], 0
+        starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        for which, work in ((first, self._one_by_one), (~first, self._after_spaces)):
+            there = np.zeros(len(words.dictionary), bool)
+            there[at[which]] = True
+            own, counts = work(words.dictionary.filter(pa.array(there)))
+            place = (np.cumsum(there) - 1)[at[which]]
+            starts[which], lengths[which] = used + (np.cumsum(counts) - counts)[place], counts[place]
+            ids.append(own)
+            used += len(own)
+        return np.concatenate(ids)[ranges(starts, lengths)], sums(lengths, pieces)
+
+    def _one_by_one(self, words: pa.Array, prefix: str = "") -> tuple[np.ndarray, np.ndarray]:
+        lists = [self.encoding.encode_ordinary(prefix + w) for w in words.to_numpy(zero_copy_only=False)]
+        counts = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((i for x in lists for i in x), np.int32, int(counts.sum())), counts
+
+    def _after_spaces(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words with a space before each."""
+        odd = pc.match_substring_regex(words, ENDS_IN_SPACE).to_numpy(zero_copy_only=False)
+        plain = words.filter(pa.array(~odd))
+        joined = pc.binary_join(pa.array([plain], pa.list_(plain.type)), " ")[0].as_py()
+        ids = self.encoding.encode_to_numpy(" " + joined, disallowed_special=()).astype(np.int32) if len(plain) else np.zeros(0, np.int32)
+        ends = np.cumsum(pc.binary_length(plain).to_numpy().astype(np.int64) + 1)
+        tokens = np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1
+        counts = np.zeros(len(words), np.int64)
+        counts[~odd] = np.diff(tokens, prepend=0)
+        if not odd.any():
+            return ids, counts
+        others, n = self._one_by_one(words.filter(pa.array(odd)), " ")
+        counts[odd] = n
+        out, mine = np.zeros(int(counts.sum()), np.int32), np.repeat(odd, counts)
+        out[mine], out[~mine] = others, ids
+        return out, counts
+
+    def _windows(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """A long text, cut before spaces."""
+        parts, at = [], 0
+        while at < len(text):
+            end = text.find(" ", at + TOGETHER)
+            end = len(text) if end < 0 else end
+            parts.append(self._chunked(pa.array([text[at:end]]))[0])
+            at = end
+        return np.concatenate(parts), np.array([sum(map(len, parts))])
 
 
 @functools.cache
@@ -112,9 +155,9 @@ def store_ids(spark: SparkSession, docs: DataFrame, path: str, end_id: int) -> D
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at, encode = TaskContext.get().partitionId(), 0, encoder(path).encode
         for batch in batches:
-            texts = as_texts(batch.column("text"))
+            texts = batch.column("text")
             done = 0
-            for run in runs(texts):
+            for run in runs_of(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), TOGETHER):
                 flat, counts = encode(texts[run])
                 ends = np.cumsum(counts + 1)
                 starts = ends - counts - 1
@@ -128,7 +171,6 @@ def store_ids(spark: SparkSession, docs: DataFrame, path: str, end_id: int) -> D
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(n)), pa.array(np.full(len(n), part, np.int32)), pa.array(at + starts), pa.array(n), ids], schema=arrow)
                 at += int(ends[-1])
                 done += len(n)
-        encoder(path).clear()
         give_back()
 
     return settle(spark, docs.mapInArrow(each, STORED), "ids")

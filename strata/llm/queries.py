@@ -84,13 +84,13 @@ select d.doc_id, coalesce(n_assign, 0) n_assign, coalesce(n_access, 0) n_access,
 
 
 def quality_rules_sql() -> str:
-    """Histograms in long form, medians, means of what is near them, and distances."""
+    """Common words of each language, histograms in long form, medians, means of what is near them, and distances."""
     rules = quality_rules.Rules()
     text = lambda x: "'" + x.replace("'", "''") + "'"
     sets = {"vowel": "aeiou", "consonant": "bcdfghjklmnpqrstvwxyz", "upper": "A-Z", "digit": "0-9", "space": r"\x20\t", "newline": r"\n\v\f\r", "stop": ".,;:!?", "quote": "'\"()\\-", "symbol": "#*$%&|<>", "two": r"\x{80}-\x{7FF}", "three": r"\x{800}-\x{FFFF}", "four": r"\x{10000}-\x{10FFFF}"}
     counted = " union all ".join(f"select doc_id, {k!r} k, length(regexp_replace(t, {text('[^' + x + ']')}, '', 'g')) c from d" for k, x in sets.items())
-    common = ", ".join(f"('{lang}', {text(w)})" for lang, words in rules.common.items() for w in words)
     apart = lambda p, q: f"sqrt(greatest(0, least(1, sum(case when {p} > 0 then {p} * log2({p} / (({p} + {q}) / 2)) else 0 end + case when {q} > 0 then {q} * log2({q} / (({p} + {q}) / 2)) else 0 end) / 2)))"
+    limit = f"greatest({rules.least_word_limit}, least(0.999, {rules.word_noise} / sqrt(greatest(n_words, 1))))"
     return f"""with d as (select doc_id, coalesce(text, '') t, lang, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') ws from documents),
 w as (select doc_id, unnest(ws) w, generate_subscripts(ws, 1) i from d),
 win as (select doc_id, i, w, lead(w) over o w2, lead(w, 2) over o w3 from w window o as (partition by doc_id order by i)),
@@ -102,23 +102,26 @@ base as (select d.doc_id, lang, cast(len(ws) as bigint) n_words, cast(coalesce(l
   coalesce(dup.n, 0) n_dup_lines, coalesce(rep.n, 0) n_repeat_words, len(ws) < {rules.least_words} or 100 * coalesce(rep.n, 0) > {rules.most_repeated_percent} * len(ws) base_failed from d left join dup on dup.doc_id = d.doc_id left join rep on rep.doc_id = d.doc_id),
 some_ as ({counted}), cls as (select * from some_ union all select d.doc_id, 'other', length(t) - (select sum(c) from some_ where some_.doc_id = d.doc_id) from d),
 sh as (select doc_id, k, c / greatest(sum(c) over (partition by doc_id), 1) p from cls),
-cw(lang, word) as (values {common}),
-of_ as (select doc_id, lang, word, count(*) n from w join cw on lower(trim(w, {text(quality_rules.EDGES)})) = word group by 1, 2, 3),
+plain as (select doc_id, lower(trim(w, {text(quality_rules.EDGES)})) word, count(*) n from w group by 1, 2),
+langs as (select lang, count(*) n from documents where lang is not null group by 1 having count(*) >= {rules.least_documents}),
+drawn as (select doc_id, lang from documents join langs using (lang) where cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 8) as bigint) / 4294967296.0 < {2.0 * rules.learn_from} / n),
+cw as (select lang, word from (select lang, word, row_number() over (partition by lang order by count(*) desc, word) k from drawn join plain using (doc_id) where word <> '' group by 1, 2) where k <= {rules.common_words}),
+of_ as (select doc_id, lang, word, n from plain join cw using (word)),
 tot as (select doc_id, lang, sum(n) n from of_ group by 1, 2),
-ws as (select d.doc_id, cw.lang, cw.word, coalesce(of_.n, 0) / greatest(coalesce(tot.n, 0), 1) p, coalesce(tot.n, 0) >= {rules.min_common} enough from d cross join cw
+ws as (select d.doc_id, cw.lang, cw.word, coalesce(of_.n, 0) / greatest(coalesce(tot.n, 0), 1) p, coalesce(tot.n, 0) n from d cross join cw
   left join of_ on of_.doc_id = d.doc_id and of_.lang = cw.lang and of_.word = cw.word left join tot on tot.doc_id = d.doc_id and tot.lang = cw.lang),
-pass as (select * from base where not base_failed and lang in (select lang from cw)),
+pass as (select base.* from base join langs using (lang) where not base_failed),
 md as (select lang, k, quantile_disc(p, 0.5) m from pass join sh using (doc_id) group by 1, 2),
 mid as (select lang, k, m / sum(m) over (partition by lang) q from md),
 near as (select doc_id, min(x) x from (select doc_id, lang, {apart("p", "q")} x from sh join mid using (k) group by 1, 2) group by 1),
 good as (select pass.* from pass join near using (doc_id) where not (n_words >= {rules.min_words} and x > {rules.max_class_distance})),
 rc as (select lang, k, avg(p) q from good join sh using (doc_id) group by 1, 2),
-rw as (select ws.lang, word, coalesce(avg(p) filter (enough), 0) q from good join ws on ws.doc_id = good.doc_id and ws.lang = good.lang group by 1, 2),
+rw as (select ws.lang, word, coalesce(avg(p) filter (n >= {rules.min_common}), 0) q from good join ws on ws.doc_id = good.doc_id and ws.lang = good.lang group by 1, 2),
 bc as (select doc_id, lang, {apart("p", "q")} x from sh join rc using (k) group by 1, 2),
-bw as (select doc_id, ws.lang, {apart("p", "q")} x from ws join rw on rw.lang = ws.lang and rw.word = ws.word where enough and ws.lang in (select lang from rw group by 1 having sum(q) > 0) group by 1, 2),
-best as (select bc.doc_id, arg_min({{'lang': bc.lang, 'c': bc.x, 'w': coalesce(bw.x, 0)}}, (bc.x + coalesce(bw.x, 1), bc.lang)) b from bc left join bw on bw.doc_id = bc.doc_id and bw.lang = bc.lang group by 1)
+bw as (select doc_id, ws.lang, case when sum(q) <= 0 then 0 when max(n) = 0 then 1 else {apart("p", "q")} end x from ws join rw on rw.lang = ws.lang and rw.word = ws.word group by 1, 2),
+best as (select doc_id, arg_min({{'lang': lang, 'c': bc.x, 'w': coalesce(bw.x, 0)}}, (bc.x + coalesce(bw.x, 0), lang)) b from bc left join bw using (doc_id, lang) group by 1)
 select base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and not (n_words >= {rules.min_words} and (coalesce(b.c, 0) > {rules.max_class_distance} or coalesce(b.w, 0) > {rules.max_word_distance})) kept,
+  not base_failed and not ((lang is null or lang in (select lang from rc)) and n_words >= {rules.min_words} and (coalesce(b.c, 0) > {rules.max_class_distance} or coalesce(b.w, 0) > {limit})) kept,
   b.lang closest, round(coalesce(b.c, 0), 6) class_distance, round(coalesce(b.w, 0), 6) word_distance from base left join best on best.doc_id = base.doc_id"""
 
 

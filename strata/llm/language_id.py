@@ -31,13 +31,14 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Settings:
-    """per_language: at most so many texts of each language are learned from; most_languages: of so many languages, the most frequent."""
+    """per_language and texts: at most so many texts of each language are learned from, and of all together; every language is learned."""
 
     longest: int = 3
     cells: int = 1 << 15
     per_language: int = 400
-    most_languages: int = 64
+    texts: int = 12_800
     landmarks_per_language: int = 48
+    landmarks: int = 1536
     ridge: float = 1.0
     sharpness: float = 6.0
 
@@ -97,7 +98,8 @@ def fit(cells: list[np.ndarray], names: list[str], s: Settings) -> Model:
     languages = sorted(set(names))
     if not languages:
         return Model([], np.zeros((s.cells, 0), np.float32), np.zeros(0), s)
-    chosen = [i for lang in languages for i in [k for k, x in enumerate(names) if x == lang][: s.landmarks_per_language]]
+    own = max(1, min(s.landmarks_per_language, s.landmarks // len(languages)))
+    chosen = [i for lang in languages for i in [k for k, x in enumerate(names) if x == lang][:own]]
 
     def dense(rows: list[int]) -> np.ndarray:
         out = np.zeros((len(rows), s.cells), np.float32)
@@ -135,11 +137,12 @@ def train(spark: SparkSession, docs: DataFrame, learn: Column, s: Settings | Non
     """
     s = s or Settings()
     rows = docs.where(learn & F.col("lang").isNotNull())
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(s.most_languages).collect()
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return fit([], [], s)
+    most = max(1, min(s.per_language, s.texts // len(counts)))
     draw = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30))
-    below = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1 << 30, (1 << 30) * 2 * s.per_language // r["n"])))])
+    below = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1 << 30, (1 << 30) * 2 * most // r["n"])))])
     drawn = rows.where(draw < F.coalesce(below[F.col("lang")], F.lit(0))).select("text", "lang", draw.alias("draw"))
 
     def work(batch: pa.RecordBatch) -> dict:
@@ -152,7 +155,7 @@ def train(spark: SparkSession, docs: DataFrame, learn: Column, s: Settings | Non
     found: dict[str, list] = {}
     for lang, _, i in sorted((lang, (draw, cells[i].tobytes()), i) for i, (lang, draw) in enumerate(zip(got["lang"].to_pylist(), got["draw"].to_pylist()))):
         of = found.setdefault(lang, [])
-        if len(cells[i]) and len(of) < s.per_language:
+        if len(cells[i]) and len(of) < most:
             of.append(cells[i])
     return fit([c for x in found.values() for c in x], [lang for lang, x in found.items() for _ in x], s)
 

@@ -6,7 +6,8 @@ which a node's children stand at 2i + 1 and 2i + 2, so a batch goes down every t
 
 Defined results: null and empty texts have the statistics of an empty text and a score like any other; a document whose
 labels differ is learned from with the lesser; without labelled rows, or with one label only, every score is the share
-of label 1 held within 0.01 and 0.99 (0.5 without rows). Repeated rows give repeated results. Columns other than those
+of label 1 held within 0.01 and 0.99 (0.5 without rows); of cuts of equal gain the first by feature and limit is taken; of labelled
+rows of one id one is learned from. A long text is measured by itself, whole; an empty table gives an empty result. Repeated rows give repeated results. Columns other than those
 named are neither read nor returned: labels, language, source and id are no inputs of a score.
 """
 
@@ -149,14 +150,14 @@ def held_out(doc_id: Column) -> Column:
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, learn: Column, s: Settings) -> Trees:
     """docs: doc_id, text; labels: doc_id, label; learn: which ids may be learned from.
 
-    Labelled ids are drawn by a hash so that at most about `sample` remain, which bounds what is joined by broadcast and
-    what reaches the driver.
+    Labelled ids are drawn by a hash so that at most about `sample` remain, which bounds what is joined by broadcast; of rows
+    of one id one text counts (by its hash), which bounds what reaches the driver.
     """
     known = labels.where(learn & F.col("label").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("label").alias("label"))
     n = known.count()
     if n > s.sample:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (1 << 30) * s.sample // n)
-    drawn = docs.join(F.broadcast(known), "doc_id")
+    drawn = docs.join(F.broadcast(known), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def work(batch: pa.RecordBatch) -> dict:
         texts = as_bytes(batch.column("text"))

@@ -7,7 +7,8 @@ the limits of its leftmost non-overlapping matches. A rule with a head is found
 go over cuts, is then matched in the whole text.
 
 Defined results: null and empty texts have no spans; repeated rows give repeated results; spans of different kinds may
-overlap, and equal starts are ordered as the kinds are listed. Positions count code points, ends are exclusive.
+overlap, and equal starts are ordered as the kinds are listed; an empty table gives an empty result. Time is linear in a
+text's length, also where it has no byte at which it can be cut. Positions count code points, ends are exclusive.
 Columns other than those named are neither read nor returned.
 """
 
@@ -21,9 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType
 
 from strata.llm.automata import Automaton, compile_patterns, matches, resets, scan
-from strata.llm.common import as_bytes, documents, give_back, per_batch, prepare, runs
+from strata.llm.common import as_bytes, documents, give_back, per_batch, place_of, prepare, runs
 
 #: Bytes of a piece, up to the next byte where a text can be cut.
 PIECE = 256
@@ -162,7 +164,7 @@ def digest(scanned: DataFrame) -> DataFrame:
 
 
 def redact(spark: SparkSession, df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[{kind}]") -> DataFrame:
-    """df with each span of its texts replaced by its kind's mark, and n_chars, if there, counted anew where a text has changed.
+    """df with each span of its texts replaced by its kind's mark, and n_chars, if there and a whole number, counted anew where a text has changed.
 
     Overlapping spans are one, marked as the first. Null texts stay null; columns keep their order and types.
     """
@@ -170,8 +172,8 @@ def redact(spark: SparkSession, df: DataFrame, rules: tuple[Rule, ...] = RULES,
     s = spark.sparkContext.broadcast(scanner(rules))
     names = df.columns
     flat = df.toDF(*[f"_{i}" for i in range(len(names))])
-    at = names.index(text_col)
-    count = names.index("n_chars") if "n_chars" in names else None
+    at = place_of(df, text_col)
+    count = names.index("n_chars") if "n_chars" in names and isinstance(df.schema[names.index("n_chars")].dataType, (IntegerType, LongType)) else None
 
     def clean(text: bytes, found: list[tuple[int, int, int]]) -> bytes:
         out, end = [], 0

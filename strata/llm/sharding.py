@@ -4,13 +4,15 @@ Every shard stands at `replicas` points of a ring of 64-bit hashes; a row belong
 to clockwise. A shard takes at most its capacity; rows that find it full go on clockwise to the next point whose shard is
 not. Capacities add up to the rows, so every shard ends exactly full: counts differ by one at most.
 
-Rows are counted by arc (the stretch of ring before a point). The counts, a number for each point, are all that placing
-needs: it gives for each arc a few intervals of ranks, each with a shard and a first slot. Rows then look up the interval
-of their rank within their arc.
-
-Defined results: a null text has no bytes; a null key is a key like any other; equal keys are told apart by text CRC and
-size only, and rows that agree in all of them may take each other's places; an empty table gives an empty result; with
-fewer rows than shards some shards stay empty. Columns other than those named are neither read nor returned.
+Rows that agree in id, size and CRC are one group with a count, as any of them may take another's place. Groups are ranked
+within their arc (the stretch of ring before a point) by a hash of all three, and arcs are dealt into parts by that hash, so
+neither a frequent id nor a frequent row meets in one task: sums of parts give where a part's ranks begin. The arcs' counts, a
+number for each point, are all that placing needs: it gives for each arc a few intervals of ranks, each with a shard and
+a first slot. Groups then look up the intervals of their ranks; large ones are cut into runs first, which are dealt out.
+
+Defined results: a null text has no bytes; a null key is a key like any other; an empty table gives an empty result; with
+fewer rows than shards some shards stay empty. A text counts by size and CRC only, however long it is. The result does not depend on how the table is split.
+Columns other than those named are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -22,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import documents, per_batch, settle
+from strata.llm.common import documents, per_batch, ranges, release, settle
 
 REPLICAS = 256
+#: Parts of an arc, and rows of a run.
+PARTS, RUN = 256, 512
 
 
 def ring(shards: int, replicas: int = REPLICAS) -> tuple[np.ndarray, np.ndarray]:
@@ -63,16 +67,23 @@ def place(counts: dict[int, int], owners: np.ndarray, capacity: list[int]) -> li
 
 
 def ranked(spark: SparkSession, rows: DataFrame, points: np.ndarray) -> DataFrame:
-    """doc_id, size, crc, and arc and rank of each row, written to the shared folder; rows: doc_id, size, crc, hash."""
+    """doc_id, size, crc, n, and arc and first rank of each group, written to the shared folder; rows: doc_id, size, crc."""
     at = spark.sparkContext.broadcast(points)
+    groups = rows.groupBy("doc_id", "size", "crc").agg(F.count("*").alias("n")).withColumns({"hash": F.xxhash64("doc_id"), "order": F.xxhash64("doc_id", "size", "crc")})
 
     def work(batch: pa.RecordBatch) -> dict:
         place = batch.column("hash").to_numpy().view(np.uint64)
-        return {c: batch.column(c) for c in ("doc_id", "size", "crc", "hash")} | {"arc": (np.searchsorted(at.value, place, side="left") % len(at.value)).astype(np.int32)}
+        return {c: batch.column(c) for c in ("doc_id", "size", "crc", "n", "order")} | {"arc": (np.searchsorted(at.value, place, side="left") % len(at.value)).astype(np.int32)}
 
-    arcs = per_batch(spark, rows, "doc_id long, size long, crc long, hash long, arc int", work)
-    order = Window.partitionBy("arc").orderBy("hash", "doc_id", "crc", "size")
-    return settle(spark, arcs.withColumn("rank", F.row_number().over(order).cast("long") - 1).drop("hash"), "arcs")
+    arcs = per_batch(spark, groups, "doc_id long, size long, crc long, n long, order long, arc int", work).withColumn("part", F.pmod(F.shiftrightunsigned("order", 32), F.lit(PARTS)).cast("int"))
+    before = Window.partitionBy("arc", "part").orderBy("order", "doc_id", "size", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    inner = settle(spark, arcs.withColumn("inner", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("order"), "parts")
+    # a row for each part of an arc, however many rows there are
+    sums = inner.groupBy("arc", "part").agg(F.sum("n").alias("total"))
+    begin = sums.select("arc", "part", F.coalesce(F.sum("total").over(Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    out = settle(spark, inner.join(begin, ["arc", "part"]).select("doc_id", "size", "crc", "n", "arc", (F.col("begin") + F.col("inner")).alias("rank")), "arcs")
+    release(inner)
+    return out
 
 
 def sharding(spark: SparkSession, df: DataFrame, shards: int = 24, replicas: int = REPLICAS, overhead: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -82,25 +93,32 @@ def sharding(spark: SparkSession, df: DataFrame, shards: int = 24, replicas: int
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + overhead).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("crc"),
-        F.xxhash64("doc_id").alias("hash"),
     )
     points, owners = ring(shards, replicas)
     arcs = ranked(spark, rows, points)
     # one number for each point of the ring, however many rows there are
-    counts = dict(tuple(r) for r in arcs.groupBy("arc").agg(F.count("*")).collect())
+    counts = dict(tuple(r) for r in arcs.groupBy("arc").agg(F.sum("n")).collect())
     parts = place(counts, owners, capacities(sum(counts.values()), shards))
     by_arc: dict[int, list] = {}
     for arc, *part in sorted(parts):
         by_arc.setdefault(arc, []).append(part)
     table = spark.sparkContext.broadcast({arc: np.array(x) for arc, x in by_arc.items()})
 
+    run = F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / RUN)))
+    runs = arcs.withColumn("run", run).select("doc_id", "size", "crc", "arc", (F.col("rank") + F.col("run") * RUN).alias("rank"), F.least(F.lit(RUN), F.col("n") - F.col("run") * RUN).alias("n"))
+
     def work(batch: pa.RecordBatch) -> dict:
-        arc, rank = batch.column("arc").to_numpy(), batch.column("rank").to_numpy()
+        n = batch.column("n").to_numpy()
+        each = np.repeat(np.arange(len(n)), n)
+        arc, rank = batch.column("arc").to_numpy()[each], ranges(batch.column("rank").to_numpy(), n)
         shard, slot = np.zeros(len(arc), np.int32), np.zeros(len(arc), np.int64)
-        for a in np.unique(arc):
-            rows, part = np.flatnonzero(arc == a), table.value[int(a)]
+        order = np.argsort(arc, kind="stable")
+        limits = np.flatnonzero(np.diff(arc[order], prepend=-1))
+        for rows in np.split(order, limits[1:]):
+            part = table.value[int(arc[rows[0]])]
             which = np.searchsorted(part[:, 0], rank[rows], side="right") - 1
             shard[rows], slot[rows] = part[which, 2], part[which, 3] + rank[rows] - part[which, 0]
-        return {"doc_id": batch.column("doc_id"), "size": batch.column("size"), "text_crc32": batch.column("crc"), "law": ["rows"] * len(arc), "shard": shard, "slot": slot, "grown_shard": [None] * len(arc)}
+        place = pa.array(each)
+        return {"doc_id": batch.column("doc_id").take(place), "size": batch.column("size").take(place), "text_crc32": batch.column("crc").take(place), "law": ["rows"] * len(arc), "shard": shard, "slot": slot, "grown_shard": [None] * len(arc)}
 
-    return per_batch(spark, arcs, "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int", work)
+    return per_batch(spark, runs.repartition(F.xxhash64("arc", "rank")), "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int", work)

@@ -9,7 +9,8 @@ the classes and not with their pairs, and no link is lost.
 
 Defined results: null and empty texts, and texts without a word, have fingerprint zero, and link like any other; fewer
 words than a shingle has are one shingle; ties in the bits (as many ones as zeros) give 0. Rows of one
-doc_id are rows of one document, and so in one component; null doc_ids never name a component. An empty table gives an empty result.
+doc_id are rows of one document, and so in one component; null doc_ids never name a component, which is null where all are. An
+empty table gives an empty result. A long text is worked on by itself, whole.
 Columns other than those named are neither read nor returned.
 """
 
@@ -20,15 +21,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import as_bytes, documents, extend, place_of, runs, settle, sums
+from strata.llm.common import as_bytes, documents, extend, runs, settle, sums
 from strata.operators.graph import components
 
 BITS = 64
-#: From here on, numbers stand for documents without doc_id, by fingerprint; they name no component.
-NO_ID = (1 << 63) - (1 << 61)
 
 
 def shingles(text: bytes, width: int) -> list[bytes]:
@@ -102,31 +101,19 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def key_of(doc_id: str, fp: str) -> Column:
-    return F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID) + F.col(fp).bitwiseAND(F.lit((1 << 61) - 1)))
-
-
 def grouped(spark: SparkSession, docs: DataFrame, distance: int, blocks: int, most: int) -> DataFrame:
-    """fp, rep and root of each class of equal fingerprints; docs: key, fp."""
-    classes = settle(spark, docs.groupBy("fp").agg(F.min("key").alias("rep")), "classes")
-    roots = components(spark, links(spark, classes, distance, blocks, most))
-    return classes.join(roots, classes.rep == roots.node, "left").select("fp", "rep", F.coalesce("root", "rep").alias("root"))
+    """fp and component_id, the smallest doc_id of all classes that links and shared ids reach; docs: doc_id, fp."""
+    classes = settle(spark, docs.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("v"), F.max("fp").alias("high")).where("v < high").drop("high")
+    same_id = docs.join(repeated, "doc_id").where("fp > v").select(F.col("fp").alias("u"), "v").distinct()
+    near = links(spark, classes.select(F.col("fp").alias("rep"), "fp"), distance, blocks, most)
+    roots = components(spark, near.unionByName(same_id))
+    named = settle(spark, classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "roots")
+    return named.join(named.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
 
 
 def simhash_dedup(spark: SparkSession, df: DataFrame, distance: int = 2, width: int = 3, blocks: int = 4, most: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint and component_id, the smallest doc_id that links reach."""
     made = extend(spark, documents(df, id_col, text_col), "fp long", lambda texts: {"fp": fingerprints(texts, width)}, "text")
     docs = settle(spark, made.select(F.col("_0").alias("doc_id"), "fp"), "fingerprints")
-    named = grouped(spark, docs.select(key_of("doc_id", "fp").alias("key"), "fp"), distance, blocks, most)
-    return docs.join(named, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), F.when(F.col("root") < NO_ID, F.col("root")).alias("component_id"))
-
-
-def keep_one_of_each(spark: SparkSession, df: DataFrame, distance: int = 2, width: int = 3, blocks: int = 4, most: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that are the first of their component, by doc_id; of rows of one doc_id, one. All columns stay."""
-    key = f"_{place_of(df, id_col)}"
-    made = extend(spark, df, "fp long", lambda texts: {"fp": fingerprints(texts, width)}, text_col)
-    docs = settle(spark, made.withColumn("key", key_of(key, "fp")), "fingerprints")
-    named = grouped(spark, docs.select("key", "fp"), distance, blocks, most)
-    first = docs.join(named.where("root = rep").select(F.col("rep").alias("key")).distinct(), "key", "left_semi")
-    one = first.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("fp"))).where("nth = 1")
-    return one.select(*[f"_{i}" for i in range(len(df.columns))]).toDF(*df.columns)
+    return docs.join(grouped(spark, docs, distance, blocks, most), "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")

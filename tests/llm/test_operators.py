@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import duckdb
@@ -179,52 +180,71 @@ def test_quality_rules(spark, docs, nothing):
     assert quality_rules.quality_rules(spark, nothing).count() == 0
 
 
-def prose(rng, lang, n):
+# Some frequent words of four languages, and letters for others.
+FREQUENT = {
+    "en": "a and are as at be by for from had has have he his in is it not of on or that the they this to was were which with you".split(),
+    "de": "auf als an auch aus bei das dem den der des die durch ein eine einen er es für hat im in ist mit nicht sich sie sind und von".split(),
+    "es": "al como con de del el en es esta fue ha la las lo los más no o para pero por que se ser sin sobre son su sus un".split(),
+    "fr": "au aux avec ce ces dans de des du elle en est et il la le les leur ne on ou par pas plus pour qu que qui se son".split(),
+}
+LETTERS = {"en": "abcdefghinorstuw", "de": "abcdeghinrstuzäöü", "es": "abcdeilmnorstuóñ", "fr": "abcdeilnopqrstuéè"}
+
+
+def prose(rng, lang, n, letters=None):
     """Sentences of common and invented words."""
-    common, letters = quality_rules.COMMON_WORDS[lang], {"en": "abcdefghinorstuw", "de": "abcdeghinrstuzäöü", "es": "abcdeilmnorstuóñ", "fr": "abcdeilnopqrstuéè"}[lang]
-    return " ".join(rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) + ("." if rng.random() < 0.1 else "") for _ in range(n))
+    return " ".join(rng.choice(FREQUENT[lang]) if rng.random() < 0.4 else "".join(rng.choice(letters or LETTERS[lang]) for _ in range(rng.randint(2, 9))) + ("." if rng.random() < 0.1 else "") for _ in range(n))
 
 
 def test_divergence_equals_its_definition(spark):
     rng = random.Random(2)
-    rows = [(k, prose(rng, lang, 150), lang) for k, lang in enumerate(["en", "de", "es", "fr"] * 12)]
-    rows += [(100, " ".join(w + "***&&&" for w in prose(rng, "en", 150).split()), "en"), (101, prose(rng, "en", 150).upper() + "!!!", "en")]
+    rows = [(k, prose(rng, lang, 250), lang) for k, lang in enumerate(["en", "de", "es", "fr"] * 22)]
+    rows += [(100, " ".join(w + "***&&&" for w in prose(rng, "en", 150).split()), "en"), (101, prose(rng, "en", 150).upper() + "!!!", "en"), (102, " ".join("".join(rng.choice(LETTERS["en"]) for _ in range(rng.randint(4, 9))) for _ in range(250)), None)]
+    rows += [(110, "the old hall and a short one here", "en"), (111, "##" * 55, "en"), (112, prose(rng, "en", 55) + " ####" * 3, "en")]
+    rows += [(120 + k, " ".join("".join(rng.choice("абвгдежзиклмнопрст") for _ in range(6)) for _ in range(100)), "ru") for k in range(5)]
     rules = quality_rules.Rules()
-    found = by_id(quality_rules.quality_rules(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), rules))
-    assert [k for k, r in found.items() if not r["kept"]] and {k for k, r in found.items() if not r["kept"]} == {100, 101}
-    assert all(found[k]["closest"] == lang for k, _, lang in rows[:48])
-
-    def shares(text, lang):
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = by_id(quality_rules.quality_rules(spark, table, rules))
+    assert {k for k, r in found.items() if not r["kept"]} == {100, 101, 102, 110, 111}  # languages without a reference and texts under the least length are not judged
+    assert all(found[k]["closest"] == lang for k, _, lang in rows[:88])
+    kept = {r["doc_id"] for r in quality_rules.keep_by_rules(spark, table, quality_rules.KEEP_SHORT).collect()}
+    assert kept == {k for k, r in found.items() if r["kept"]} | {110, 111}
+
+    plain = {k: [w.lower().strip(quality_rules.EDGES) for w in words(t)] for k, t, _ in rows}
+    common = {}
+    for lang in FREQUENT:
+        docs = [set(plain[k]) for k, _, x in rows if x == lang]
+        common[lang] = sorted({w for d in docs for w in d} - {""}, key=lambda w: (-sum(w in d for d in docs), w))[: rules.common_words]
+    assert quality_rules.learn_words(spark, table, rules) == common
+
+    def shares(k, text, lang):
         kinds = [quality_rules.CLASS_OF_BYTE[b] for b in text.encode()]
         classes = np.array([kinds.count(i) for i in range(len(quality_rules.CLASSES))], float)
-        plain = [w.lower().strip(quality_rules.EDGES) for w in words(text)]
-        common = np.array([plain.count(w) for w in rules.common[lang]], float)
-        return classes / classes.sum(), common / max(common.sum(), 1), common.sum()
+        found = np.array([plain[k].count(w) for w in common[lang]], float)
+        return classes / classes.sum(), found / max(found.sum(), 1), found.sum()
 
     def apart(p, q):
         m = (p + q) / 2
         half = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m) if x)
         return max(0, (half(p) + half(q)) / 2) ** 0.5
 
-    def means(keep):
-        out = {}
-        for lang in rules.common:
-            own = [shares(t, lang) for k, t, l in rows if l == lang and k in keep]
-            out[lang] = np.mean([c for c, _, _ in own], 0), np.mean([w for _, w, n in own if n >= rules.min_common], 0)
-        return out
-
-    def distances(text, refs):
-        return min(((apart(c, refs[lang][0]), apart(w, refs[lang][1]) if n >= rules.min_common else 0.0, 1.0 if n < rules.min_common else 0.0) for lang in refs for c, w, n in [shares(text, lang)]), key=lambda x: x[0] + (x[2] or x[1]))[:2]
-
+    failed = {k for k, r in found.items() if r["base_failed"]}
+    of = {(k, lang): shares(k, t, lang) for k, t, _ in rows for lang in common}
     medians = {}
-    for lang in rules.common:
-        middle = np.quantile([shares(t, lang)[0] for _, t, l in rows if l == lang], 0.5, axis=0, method="inverted_cdf")
+    for lang in common:
+        middle = np.quantile([of[k, lang][0] for k, _, x in rows if x == lang and k not in failed], 0.5, axis=0, method="inverted_cdf")
         medians[lang] = middle / middle.sum()
-    good = {k for k, t, _ in rows if min(apart(shares(t, lang)[0], medians[lang]) for lang in medians) <= rules.max_class_distance}
-    assert good == set(range(48))
-    second = means(good)
-    for k, t, _ in rows:
-        assert (found[k]["class_distance"], found[k]["word_distance"]) == pytest.approx(distances(t, second), abs=1e-9)
+    near = {k: min(apart(of[k, lang][0], medians[lang]) for lang in medians) for k, _, _ in rows}
+    good = {k for k, t, x in rows if k not in failed and x in common and (near[k] <= rules.max_class_distance or len(words(t)) < rules.min_words)}
+    refs = {}
+    for lang in common:
+        own = [of[k, lang] for k, _, x in rows if x == lang and k in good]
+        refs[lang] = np.mean([c for c, _, _ in own], 0), np.mean([w for _, w, n in own if n >= rules.min_common], 0)
+    for k, t, label in rows:
+        c, w = min(((apart(of[k, lang][0], refs[lang][0]), apart(of[k, lang][1], refs[lang][1]) if of[k, lang][2] else 1.0) for lang in refs), key=sum)
+        assert (found[k]["class_distance"], found[k]["word_distance"]) == pytest.approx((c, w), abs=1e-9)
+        n = len(words(t))
+        far = n >= rules.min_words and (c > rules.max_class_distance or w > min(0.999, max(rules.least_word_limit, rules.word_noise / n**0.5)))
+        assert found[k]["kept"] == (k not in failed and not (far and (label is None or label in refs)))
 
 
 def test_secret_scan(spark, docs, nothing):
@@ -253,6 +273,29 @@ def plain_spans(t):
     return sorted(out)
 
 
+def test_redaction_of_odd_columns(spark):
+    """A text column by another case, a number of characters that is a string, and a struct whose field has a space."""
+    table = spark.createDataFrame([(1, "token: abcdef123", "16"), (2, None, None), (3, "", "0")], "doc_id long, Text string, n_chars string").selectExpr("*", "named_struct('a b', 1, 'c', array(1)) s")
+    got = secret_scan.redact(spark, table)
+    assert got.dtypes == table.dtypes
+    assert [r["Text"] for r in got.orderBy("doc_id").collect()] == ["[assign]", None, ""]
+    for stage in (lambda t: quality_rules.keep_by_rules(spark, t.selectExpr("*", "'en' lang"), quality_rules.KEEP_SHORT), lambda t: language_id.keep_identified(spark, t.selectExpr("*", "'en' lang"))):
+        assert stage(table).count() >= 1
+
+
+def test_secrets_of_long_texts_take_time_in_proportion():
+    """Without a byte where they can be cut, and with openings that never become a match."""
+    s = secret_scan.scanner()
+    for make in (lambda n: b"x" * n, lambda n: b"eyJa.eyJa.b/" + b"eyJ" * (n // 3), lambda n: b"a1" * (n // 2), lambda n: b"password=abc/" * (n // 13)):
+        took = []
+        for n in (400_000, 1_600_000):
+            began = time.process_time()
+            secret_scan.spans([make(n)], s)
+            took.append(time.process_time() - began)
+        assert took[1] < 12 * took[0] + 0.5
+    assert secret_scan.spans([b"eyJa.eyJa.b/" + b"eyJ" * 5000], s) == [[(0, [r.kind for r in secret_scan.RULES].index("jwt"), 11)]]
+
+
 def test_secret_scan_of_random_texts():
     rng, s = random.Random(1), secret_scan.scanner()
     parts = ["password", "Token", "api_key", "apikey", " ", "  ", "=", ":", '"', "'", "abc", "abcdef12", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "ghp_", "é", "\n", ".", "x" * 20, "xoxb-", "secret", "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "eyJ", "sk_live_", "AIza"]
@@ -311,9 +354,14 @@ def test_simhash_dedup(spark, docs, nothing):
     for k, fp in points:
         assert (found[k]["fingerprint"], found[k]["component_id"]) == (f"{fp:016x}", expected[k])
     assert found[None]["component_id"] is None
-    kept = simhash_dedup.keep_one_of_each(spark, docs)
-    assert kept.columns == docs.columns
-    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([*set(expected.values()), None], key=str)
+
+
+def test_simhash_of_repeated_and_missing_ids(spark):
+    """Texts of one id are one document; the largest and null ids are like others; a component of null ids alone has none."""
+    big = (1 << 63) - 1
+    rows = [(7, "alpha beta gamma delta"), (7, "one two three four five"), (9, "one two three four five"), (big, "a b c d e f"), (big - 1, "a b c d e f"), (None, "x y z u v"), (None, "x y z u v"), (None, "alpha beta gamma delta"), (3, "quite another text here")]
+    found = sorted(((r["doc_id"], r["component_id"]) for r in simhash_dedup.simhash_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert found == sorted([(7, 7), (7, 7), (9, 7), (big, big - 1), (big - 1, big - 1), (None, None), (None, None), (None, 7), (3, 3)], key=str)
 
 
 @pytest.mark.parametrize("most", [1, 3, 1000])
@@ -336,7 +384,6 @@ def test_packing(spark, docs, nothing):
     import public_tokenizers
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     for n in (1, 3):
         pieces = packing.packing(spark, docs.where("doc_id is not null").repartition(n, "doc_id")).collect()
         row = sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"]))
@@ -355,13 +402,26 @@ def test_packing(spark, docs, nothing):
     assert packing.packing(spark, nothing).count() == 0
 
 
-def test_chunks_encode_as_whole_texts():
-    rng, mine = random.Random(3), packing.encoder(packing.vocabulary_path())
-    parts = [" ", "  ", "   ", "\n", "\n\n", "a", "The", "'s", "é", "日本", "1", "!", "\t", " ", "😀", "\r\n", "\x85", "\x1c", "　"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)]
-    flat, counts = mine.encode(texts)
-    for text, end, n in zip(texts, np.cumsum(counts), counts):
-        assert flat[end - n : end].tolist() == mine.encoding.encode_ordinary(text), text
+def test_chunks_encode_as_whole_texts(monkeypatch):
+    """Ids of tokenizers, as it comes, also where long texts are cut."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng, mine = random.Random(3), packing.Encoder(packing.vocabulary_path())
+    parts = [" ", " ", "  ", "   ", "\n", "\n\n", "a", "The", "'s", "é", "日本", "1", "!", "\t", "\u00a0", "😀", "\r\n", "\x85", "\x1c", "\u3000", "<|endoftext|>", "<|", "\x00"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 25))) for _ in range(4000)] + [None]
+    for some in (texts[:7], texts[7:1000], texts[1000:]):
+        flat, counts = mine.encode(pa.array(some, pa.string()))
+        assert len(counts) == len(some)
+        for text, end, n in zip(some, np.cumsum(counts), counts):
+            assert flat[end - n : end].tolist() == plain.encode(text or "", add_special_tokens=False).ids, text
+    monkeypatch.setattr(packing, "TOGETHER", 1000)
+    for text in (PROSE * 100, PROSE * 100 + "  ", "x" * 5000, PROSE * 50 + "<|endoftext|>" + PROSE * 50):
+        flat, counts = mine.encode(pa.array([text]))
+        assert flat.tolist() == plain.encode(text, add_special_tokens=False).ids and counts.tolist() == [len(flat)]
 
 
 def test_sharding(spark, docs, nothing):
@@ -380,9 +440,9 @@ def test_rows_are_placed_as_a_plain_ring_places_them(spark):
     placed = {}
     for shards in (8, 9):
         points, owners = sharding.ring(shards)
-        rows = [(r["doc_id"], r["h"] % (1 << 64)) for r in table.selectExpr("doc_id", "xxhash64(doc_id) h").collect()]
-        arc = lambda h: int(np.searchsorted(points, np.uint64(h))) % len(points)
-        waiting = sorted((arc(h), h - (1 << 64) if h >= 1 << 63 else h, k) for k, h in rows)
+        rows = table.selectExpr("doc_id", "xxhash64(doc_id) h", "xxhash64(doc_id, cast(length(cast(text as string)) + 8 as long), crc32(cast(cast(text as string) as binary))) o").collect()
+        arc = lambda h: int(np.searchsorted(points, np.uint64(h % (1 << 64)))) % len(points)
+        waiting = sorted((arc(r["h"]), ((r["o"] % (1 << 64)) >> 32) % sharding.PARTS * (1 << 64) + r["o"], r["doc_id"]) for r in rows)
         room, out, step = sharding.capacities(len(rows), shards), {}, 0
         while waiting:
             rest = []
@@ -400,6 +460,16 @@ def test_rows_are_placed_as_a_plain_ring_places_them(spark):
     assert 1 / 9 <= moved < 1.8 / 9
 
 
+def test_one_key_with_most_rows(spark):
+    """100,000 equal rows and 2000 others without an id, and a few with one: slots stay gapless, and no window holds them all."""
+    same = spark.range(100_000).selectExpr("cast(null as long) doc_id", "'same' text")
+    table = same.unionByName(spark.range(2000).selectExpr("cast(null as long) doc_id", "concat('t', id) text")).unionByName(spark.range(30).selectExpr("id doc_id", "'x' text"))
+    found = sharding.sharding(spark, table, shards=7).groupBy("shard").agg({"slot": "max", "*": "count", "size": "sum"}).collect()
+    assert sum(r["count(1)"] for r in found) == 102_030 and all(r["max(slot)"] == r["count(1)"] - 1 for r in found)
+    assert max(r["count(1)"] for r in found) - min(r["count(1)"] for r in found) <= 1
+    assert sum(r["sum(size)"] for r in found) == 100_000 * 12 + sum(len(f"t{k}") + 8 for k in range(2000)) + 30 * 9
+
+
 def test_quality_classifier(spark, docs, nothing):
     rng = random.Random(7)
     rows = [(k, prose(rng, "en", 60) if k % 3 else " ".join(w + "***" for w in prose(rng, "en", 60).split())) for k in range(400)]
@@ -414,6 +484,53 @@ def test_quality_classifier(spark, docs, nothing):
     assert quality_classifier.quality_classifier(spark, nothing, labels).count() == 0
 
 
+def test_statistics_equal_their_definitions():
+    rng = random.Random(4)
+    raw = [t for t in BYTES if len(t) < 30_000] + [" ".join(rng.choice(["a", "B", "CD", "x!!!!", "***", "é", "w\nv", "same", "same"]) for _ in range(rng.randrange(60))).encode() for _ in range(40)]
+    found = quality_classifier.statistics(raw)
+    for t, row in zip(raw, found):
+        own, n = t.split(), max(len(t.split()), 1)
+        kinds = [quality_rules.CLASS_OF_BYTE[b] for b in t]
+        lines = [x for x in t.split(b"\n") if x.split()]
+        triples = [tuple(own[i : i + 3]) for i in range(len(own) - 2)]
+        repeated = {i + k for i, x in enumerate(triples) if triples.count(x) > 1 for k in range(3)}
+        expected = [kinds.count(k) / max(len(t), 1) for k in range(len(quality_rules.CLASSES))] + [t.count(bytes([c])) / max(len(t), 1) for c in b"#*$%&|<>!_=@/\\{}"]
+        expected += [np.log1p(len(t)), np.log1p(len(own)), sum(map(len, own)) / n, max(map(len, own), default=0), len(set(own)) / n, len(repeated) / n, sum(x == y for x, y in zip(own, own[1:])) / n]
+        expected += [(len(lines) - len(set(lines))) / (t.count(b"\n") + 1), len(own) / (t.count(b"\n") + 1), max(map(own.count, own), default=0) / n]
+        expected += [sum(w.isupper() and len(w) > 1 for w in own) / n, sum(len(w) > 3 and not w[-3:].strip(b"#*$%&!|<>") for w in own) / n, sum(not w.strip(b"#*$%&!|<>-=_+") for w in own) / n]
+        assert row == pytest.approx(expected)
+
+
+def test_trees_grow_as_a_plain_search_grows_them():
+    """Every cut of every feature tried on its own rows, node by node."""
+    rng = np.random.RandomState(2)
+    x, s = rng.uniform(size=(120, 3)).round(2), quality_classifier.Settings(trees=4, depth=2, bins=8, least_weight=1.0)
+    y = (x[:, 0] + 0.4 * rng.uniform(size=120) > 0.7).astype(float)
+    model = quality_classifier.fit(x, y, s)
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, s.bins + 1)[1:-1], method="lower")) for c in x.T]
+    total = np.full(len(y), np.log(y.mean() / (1 - y.mean())))
+    for tree in range(s.trees):
+        p = 1 / (1 + np.exp(-total))
+        g, h = p - y, np.maximum(p * (1 - p), 1e-6)
+        gain = lambda rows: g[rows].sum() ** 2 / (h[rows].sum() + s.ridge)
+        groups = {0: np.arange(len(y))}
+        for node in range((1 << s.depth) - 1):
+            rows, best = groups[node], (1e-9, 0, np.inf)
+            for f in range(x.shape[1]):
+                for c in cuts[f]:
+                    left, right = rows[x[rows, f] <= c], rows[x[rows, f] > c]
+                    if h[left].sum() >= s.least_weight and h[right].sum() >= s.least_weight and (won := gain(left) + gain(right) - gain(rows)) > best[0] + 1e-9:
+                        best = (won, f, c)
+            assert (model.feature[tree, node], model.limit[tree, node]) == best[1:]
+            groups[2 * node + 1], groups[2 * node + 2] = rows[x[rows, best[1]] <= best[2]], rows[x[rows, best[1]] > best[2]]
+        for leaf in range(1 << s.depth):
+            rows = groups[(1 << s.depth) - 1 + leaf]
+            value = -s.rate * g[rows].sum() / (h[rows].sum() + s.ridge)
+            assert model.value[tree, leaf] == pytest.approx(value)
+            total[rows] += value
+    assert model.score(x) == pytest.approx(1 / (1 + np.exp(-total)))
+
+
 def test_trees_go_as_written():
     rng = np.random.RandomState(1)
     x = rng.uniform(size=(500, 4))
@@ -453,6 +570,41 @@ def test_language_id(spark, docs, nothing):
     assert kept.columns == docs.columns and {0, 1, 2} & {r["doc_id"] for r in kept.collect()} == set()
 
 
+def test_predictions_equal_kernel_ridge_regression():
+    """Kernels one by one from sets of cells, whitening by the landmarks' inverse root, and the closed form of weighted ridge regression."""
+    rng, s = random.Random(12), language_id.Settings(cells=1 << 10, landmarks_per_language=6, ridge=0.7, sharpness=3.0)
+    texts = [(lang, prose(rng, lang, 12)) for lang, n in (("de", 14), ("en", 20), ("fr", 9)) for _ in range(n)]
+    cells = [np.flatnonzero(x).astype(np.int32) for x in language_id.presence([t for _, t in texts], s)]
+    names = [lang for lang, _ in texts]
+    model = language_id.fit(cells, names, s)
+    sets = [set(c.tolist()) for c in cells]
+    kernel = lambda a, b: len(a & b) / (len(a) * len(b)) ** 0.5
+    marks = [sets[i] for lang in ("de", "en", "fr") for i in [k for k, x in enumerate(names) if x == lang][:6]]
+    values, vectors = np.linalg.eigh(np.array([[kernel(a, b) for b in marks] for a in marks]))
+    whiten = vectors / np.sqrt(values)
+    x = np.array([[kernel(a, b) for b in marks] for a in sets]) @ whiten
+    target = np.array([[1.0 if lang == k else -1.0 for k in ("de", "en", "fr")] for lang in names])
+    weight = np.diag([len(names) / (3 * names.count(lang)) for lang in names])
+    around, shift = x - x.mean(0), target.mean(0)
+    solved = np.linalg.inv(around.T @ weight @ around + s.ridge * np.eye(x.shape[1])) @ around.T @ weight @ (target - shift)
+    fresh = [prose(rng, lang, 8) for lang in ("de", "en", "fr") for _ in range(10)]
+    found, score = model.score(fresh)
+    for t, lang, p in zip(fresh, found, score):
+        own = set(np.flatnonzero(language_id.presence([t], s)[0]).tolist())
+        values = (np.array([kernel(own, m) for m in marks]) @ whiten - x.mean(0)) @ solved + shift
+        high = np.exp(s.sharpness * values)
+        assert lang == ("de", "en", "fr")[int(values.argmax())] and p == pytest.approx(high.max() / high.sum(), abs=1e-3)
+
+
+def test_every_language_is_learned(spark):
+    """70 languages, each of its own letters, with fewer texts in all than of one alone would do."""
+    rng = random.Random(5)
+    alphabets = [chr(0x4E00 + 20 * k) + chr(0x4E00 + 20 * k + 7) for k in range(70)]
+    rows = [(1000 * k + i, " ".join("".join(rng.choice(a) for _ in range(4)) for _ in range(12)), f"l{k:02}") for k, a in enumerate(alphabets) for i in range(8)]
+    found = language_id.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), language_id.Settings(texts=210, landmarks=140)).collect()
+    assert np.mean([r["lang_pred"] == f"l{r['doc_id'] // 1000:02}" for r in found]) > 0.97
+
+
 def test_presence_kernel_is_the_number_of_shared_ngrams():
     s = language_id.Settings(cells=1 << 20)
     texts = ["Ab, ba!", "abba", "", "12", "Straße é"]

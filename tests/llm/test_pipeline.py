@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from strata.llm import language_id, quality_rules, secret_scan
 from strata.llm.common import documents
-from tests.llm.test_operators import brute_components, brute_fingerprint, plain_spans
+from tests.llm.test_near_copies import brute_kept
+from tests.llm.test_operators import plain_spans
 
 
 def plain_redaction(text):
@@ -33,12 +34,11 @@ def test_stages_and_run(spark, sf):
     rows = {k: r for (k, r), lang, s in zip(rows.items(), found, score) if lang != "und" and s >= 0.4}
 
     left = spark.createDataFrame([tuple(r.values()) for r in rows.values()], docs.schema)
-    kept = {r["doc_id"] for r in quality_rules.quality_rules(spark, left).where("kept").collect()}
+    kept = {r["doc_id"] for r in quality_rules.quality_rules(spark, left, quality_rules.KEEP_SHORT).where("kept").collect()}
     rows = {k: r for k, r in rows.items() if k in kept}
     assert 0 < len(rows) < docs.count()
 
-    least = brute_components([(k, brute_fingerprint(r["text"].encode())) for k, r in rows.items()])
-    rows = {k: r for k, r in rows.items() if least[k] == k}
+    rows = {k: rows[k] for k in brute_kept({k: r["text"] for k, r in rows.items()})}
 
     for r in rows.values():
         text = plain_redaction(r["text"])
@@ -51,7 +51,6 @@ def test_stages_and_run(spark, sf):
     assert {r["doc_id"]: r.asDict() for r in got.collect()} == rows
 
     plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    plain.encode_special_tokens = True
     pieces = sorted(corpus_pipeline.run(spark, sf).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
     assert {r["doc_id"] for r in pieces} == set(rows)
     at = 0

@@ -9,7 +9,7 @@ presence, whitened, with the weights; the last two are multiplied once, as nothi
 Texts are read whole, in lower case, with everything but letters as one space.
 
 Defined results: null texts and texts without a letter are `und` with score 0; so is every text if no row is labelled
-(an empty table). Ties go to the first language by name. Repeated rows give repeated results; labels that are null are
+(an empty table, which gives an empty result). A long text is read whole, by itself. Ties go to the first language by name. Repeated rows give repeated results; labels that are null are
 not learned. Columns other than those named are neither read nor returned; language, source and id play no part in a score.
 """
 

@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct chunks of a batch of texts (a space mark and what follows up to the next space) are put together into one
+The distinct chunks of a batch of texts that its worker has not met before (a space mark and what follows up to the next space) are put together into one
 text. Its suffixes are sorted to the depth of the longest piece by prefix doubling. Every piece's occurrences are a
 range of that order, found for all pieces at once by binary search, doubling by doubling. The occurrences, sorted by
 position, are the edges of every chunk's lattice, and are relaxed from left to right for all chunks together.
@@ -11,8 +11,9 @@ position and may follow the piece that ends there; the last pieces, read backwar
 Runs of more spaces, whose pieces all have one score, are merged from the left.
 
 Defined results: null and empty texts have no ids. Characters that are no piece become pieces of their UTF-8 bytes.
-The space mark itself is read as a space, as the library does. Decoding gives the text back otherwise. Repeated rows
-give repeated results, texts and chunks may be of any length. Columns other than those named are neither read nor returned.
+The space mark itself is read as a space, as the library does, so texts with one do not come back; others do. Of pieces
+that may end at one place, the ranks leave one, so there are no ties. Repeated rows
+give repeated results, texts and chunks may be of any length, and an empty table gives an empty result. Columns other than those named are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -397,7 +398,7 @@ def round_trip(spark: SparkSession, df: DataFrame, path: str | None = None, id_c
             data = memoryview(ids.astype("<u4").tobytes())
             for text, back, end, n, b in zip(texts[run], e.decode(ids, counts), ends.tolist(), counts.tolist(), n_bytes.tolist()):
                 raw = text.encode()
-                for name, x in zip(out, (len(raw), n, b, zlib.crc32(data[4 * (end - n) : 4 * end]), hashlib.sha256(back).hexdigest(), back == raw.replace(MARK.encode(), b" "))):
+                for name, x in zip(out, (len(raw), n, b, zlib.crc32(data[4 * (end - n) : 4 * end]), hashlib.sha256(back).hexdigest(), back == raw)):
                     out[name].append(x)
         return out | {"doc_id": batch.column("doc_id")}
 

@@ -8,8 +8,8 @@ and no piece is built. Distinct chunks of a batch go through the automaton side
 Texts are cut at white space, and chunks into words (runs of letters, digits and underscores) and single other
 characters. A word that the vocabulary cannot spell is one unknown token.
 
-Defined results: null and empty texts have no words and no tokens; words of any length are read whole; repeated rows
-give repeated results. Columns other than those named are neither read nor returned.
+Defined results: null and empty texts have no words and no tokens; words of any length are read whole; pieces never
+tie, as the longest is taken; an empty table gives an empty result; repeated rows give repeated results. Columns other than those named are neither read nor returned.
 """
 
 from __future__ import annotations

@@ -139,7 +139,7 @@ def test_sentence_pieces(spark, docs, nothing):
     digests = by_id(sentence_pieces.round_trip(spark, docs))
     for k, text in enumerate(TEXTS):
         ids = model.encode(text or "")
-        assert (digests[k]["n_tokens"], digests[k]["ids_crc32"], digests[k]["round_trip"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), True)
+        assert (digests[k]["n_tokens"], digests[k]["ids_crc32"], digests[k]["round_trip"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), "▁" not in (TEXTS[k] or ""))
     assert sentence_pieces.encode(spark, nothing).count() == 0
 
 

@@ -6,11 +6,12 @@ import argparse
 import math
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.functions.scores import transform
-from strata.operators import consensus, diffusion, graph, hierarchy, null_model, statistics
+from strata import api
+from strata.operators import diffusion, graph, hierarchy, null_model
+from strata.plans.steps import step, verbose
 from strata.sources import store, text, toy
 from strata.tables import settle
 
@@ -28,12 +29,11 @@ def construct_similarity_matrix(spark: SparkSession, o: argparse.Namespace) -> N
 
 def construct_hierarchy(spark: SparkSession, o: argparse.Namespace) -> None:
     nodes, _ = text.load_index_gene(spark, o.index_gene)
-    cells = store.load_matrix(spark, o.similarity, o.similarity_name).select("i", "j", F.col("p").alias("w"))
-    numbers, matrix = diffusion.dense(cells)
-    gene = {r["idx"]: r["gene"] for r in nodes.collect()}
-    scores = text.load_gene_score(spark, o.gene_score) if o.gene_score else nodes.select("gene", F.lit(1.0).alias("score"))
-    used = transform(scores, o.score_threshold, o.log_transform).select(F.lit(0).alias("run"), F.col("gene").alias("node"), "score")
-    hierarchy.hierarchies(spark, used, [gene[k] for k in numbers], matrix, "merge", single=True).drop("run").write.mode("overwrite").parquet(o.output)
+    similarity = store.load_matrix(spark, o.similarity, o.similarity_name)
+    scores = text.load_gene_score(spark, o.gene_score) if o.gene_score else None
+    tree, leaves = api.construct_hierarchy(spark, similarity, nodes, scores, log_transform=o.log_transform, score_threshold=None if math.isnan(o.score_threshold) else o.score_threshold)
+    text.save_edge_list(o.hierarchy_edge_list, tree.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.col("height").alias("weight")))
+    text.save_index_gene(o.hierarchy_index_gene, leaves)
 
 
 def find_permutation_bins(spark: SparkSession, o: argparse.Namespace) -> None:
@@ -56,33 +56,46 @@ def permute_network(spark: SparkSession, o: argparse.Namespace) -> None:
     text.save_edge_list(o.output, made.select(F.col("u").alias("src"), F.col("v").alias("dst")))
 
 
+def _merges(spark: SparkSession, edges: list[str], names: list[str]) -> DataFrame:
+    """(run, u, v, h) of files of trees and leaves, as many of the one as of the other."""
+    if len(edges) != len(names):
+        raise ValueError("as many files of trees as of leaf names are needed")
+    out = None
+    for run, (tree, index) in enumerate(zip(edges, names)):
+        cells = text.load_edge_list(spark, tree).select(F.col("src").alias("child"), F.col("dst").alias("parent"), F.col("weight").alias("height"))
+        one = hierarchy.merges_of_tree(spark, cells, text.load_index_gene(spark, index)[0]).withColumn("run", F.lit(run))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def process_hierarchies(spark: SparkSession, o: argparse.Namespace) -> None:
-    curves, observed = None, None
-    for run, path in enumerate([o.observed, *o.permuted]):
-        merged = spark.read.parquet(path)
-        members = merged.select(F.col("u").alias("node")).distinct()
-        observed = observed or (merged, members)
-        one = hierarchy.size_curve(merged, members).select(F.lit(run).alias("run"), "height", "size")
-        curves = one if curves is None else curves.unionByName(one)
-    curves = settle(spark, curves, "curves")
-    found = statistics.process(curves, o.lower_size_bound, o.upper_size_bound).first().asDict()
-    text.save_clusters(o.clusters, found, hierarchy.cut_clusters(*observed, found["cut_height"]))
+    merged = _merges(spark, [o.observed_edge_list, *o.permuted_edge_list], [o.observed_index_gene, *o.permuted_index_gene])
+    merged = merged.repartition(o.num_cores, "run") if o.num_cores > 1 else merged
+    found = api.process_hierarchies(spark, merged, lower_size_bound=o.lower_size_bound, upper_size_bound=o.upper_size_bound)
+    if o.clusters:
+        figures = {"cut_height": found.observed_cut_height, "cut_size": found.observed_cut_size, "expected_cut_size": found.expected_cut_size, "cut_ratio": found.observed_cut_ratio, "expected_ratio": found.expected_cut_ratio, "p_value": found.p_value}
+        text.save_clusters(o.clusters, figures, found.observed_clusters)
+    observed = found.curves.where("run = 0").drop("run")
     if o.observed_sizes:
-        text.save_curve(o.observed_sizes, curves.where("run = 0"))
-    if o.permuted_sizes:
-        text.save_curve(o.permuted_sizes, statistics.summarize(curves))
+        text.save_curve(o.observed_sizes, observed)
+    for path, column in ((o.expected_sizes, "expected_size"), (o.min_sizes, "min_size"), (o.max_sizes, "max_size")):
+        if path:
+            text.save_curve(path, found.summary.select("height", column))
+    if o.plot:
+        text.save_points(o.plot, " ".join(o.plot_label), observed, found.summary, found.observed_cut_height)
 
 
 def perform_consensus(spark: SparkSession, o: argparse.Namespace) -> None:
-    if not len(o.components) == len(o.index_gene) == len(o.edge_list):
-        raise ValueError("as many files of components, names and edges are needed")
-    edges = clusters = None
-    for k, (components, index, edge_list) in enumerate(zip(o.components, o.index_gene, o.edge_list)):
-        pairs = graph.gene_edges(text.load_edge_list(spark, edge_list), text.load_index_gene(spark, index)[0]).select(F.lit(k).alias("input"), "u", "v")
-        members = text.load_components(spark, components).select(F.lit(k).alias("input"), F.lit(0).alias("cluster"), F.col("gene").alias("node"))
-        edges, clusters = (pairs, members) if edges is None else (edges.unionByName(pairs), clusters.unionByName(members))
-    kept = settle(spark, consensus.consensus_edges(consensus.votes(edges, clusters), o.threshold), "consensus")
-    text.save_consensus(o.nodes_output, o.edges_output, consensus.consensus_nodes(spark, kept), kept)
+    """Names of networks and scores (-n, -s) only have to be as many as the other files."""
+    lists = [o.components, o.index_gene, o.edge_list, *[x for x in (o.networks, o.scores) if x]]
+    if len({*map(len, lists)}) != 1:
+        raise ValueError("as many files of components, names and edges, and names of networks and scores, are needed")
+    inputs = []
+    for components, index, edge_list in zip(o.components, o.index_gene, o.edge_list):
+        pairs = graph.gene_edges(text.load_edge_list(spark, edge_list), text.load_index_gene(spark, index)[0])
+        inputs.append(api.ConsensusInput(pairs, text.load_components(spark, components).select(F.lit(0).alias("cluster"), F.col("gene").alias("node"))))
+    found = api.perform_consensus(spark, inputs, o.threshold)
+    text.save_consensus(o.nodes_output, o.edges_output, found.nodes, found.edges)
 
 
 def generate_example_graph(spark: SparkSession, o: argparse.Namespace) -> None:
@@ -93,6 +106,8 @@ def generate_example_graph(spark: SparkSession, o: argparse.Namespace) -> None:
         text.save_gene_score(path, scores.where(F.col("label") == label).drop("label"))
     if o.network:
         text.save_edge_list(o.network, text.name_edges(edges, nodes).select("u", "v"))
+    if o.plot:
+        text._write(o.plot, [f"{name}\t{x:.6f}\t{y:.6f}" for name, (x, y) in toy.positions().items()])
 
 
 def parser() -> argparse.ArgumentParser:
@@ -111,13 +126,13 @@ def parser() -> argparse.ArgumentParser:
                 sub.add_argument(short, f"--{name}", type=kind, default=None if default is ... else default, required=default is ...)
 
     command(construct_similarity_matrix, ("-i", "edge-list", str, ...), ("-d", "directed", bool, 0), ("-b", "beta", float, None), ("-nd", "num-digits", int, 2), ("-t", "threshold", float, 1.0), ("-uew", "use-edge-weights", bool, 0), ("-n", "name", str, "PPR"), ("-o", "output", str, ...), ("-bof", "beta-output", str, None))
-    command(construct_hierarchy, ("-smf", "similarity", str, ...), ("-smn", "similarity-name", str, "PPR"), ("-igf", "index-gene", str, ...), ("-gsf", "gene-score", str, None), ("-lt", "log-transform", bool, 0), ("-st", "score-threshold", float, None), ("-o", "output", str, ...))
+    command(construct_hierarchy, ("-smf", "similarity", str, ...), ("-smn", "similarity-name", str, "PPR"), ("-igf", "index-gene", str, ...), ("-gsf", "gene-score", str, None), ("-lt", "log-transform", bool, 0), ("-st", "score-threshold", float, math.nan), ("-helf", "hierarchy-edge-list", str, ...), ("-higf", "hierarchy-index-gene", str, ...), ("-v", "verbose", bool, 0))
     command(find_permutation_bins, ("-igf", "index-gene", str, ...), ("-elf", "edge-list", str, ...), ("-gsf", "gene-score", str, ...), ("-ms", "min-size", float, math.inf), ("-o", "output", str, ...))
     command(permute_scores, ("-i", "input", str, ...), ("-bf", "bins", str, None), ("-s", "seed", int, 1), ("-o", "output", str, ...))
     command(permute_network, ("-i", "input", str, ...), ("-c", "connected", bool, 0), ("-s", "seed", int, 1), ("-q", "swaps", float, 100.0), ("-o", "output", str, ...))
-    command(process_hierarchies, ("-ob", "observed", str, ...), ("-pe", "permuted", list, 0), ("-lsb", "lower-size-bound", float, 10.0), ("-usb", "upper-size-bound", float, math.inf), ("-cf", "clusters", str, ...), ("-osf", "observed-sizes", str, None), ("-psf", "permuted-sizes", str, None))
-    command(perform_consensus, ("-cf", "components", list, 0), ("-igf", "index-gene", list, 0), ("-elf", "edge-list", list, 0), ("-t", "threshold", int, 2), ("-cnf", "nodes-output", str, ...), ("-cef", "edges-output", str, ...))
-    command(generate_example_graph, ("-nf", "network", str, None), ("-igf", "index-gene", str, ...), ("-elf", "edge-list", str, ...), ("-gsfa", "scores-a", str, ...), ("-gsfb", "scores-b", str, ...))
+    command(process_hierarchies, ("-oelf", "observed-edge-list", str, ...), ("-oigf", "observed-index-gene", str, ...), ("-pelf", "permuted-edge-list", list, 0), ("-pigf", "permuted-index-gene", list, 0), ("-lsb", "lower-size-bound", float, 10.0), ("-usb", "upper-size-bound", float, math.inf), ("-nc", "num-cores", int, 1), ("-cf", "clusters", str, None), ("-pf", "plot", str, None), ("-pl", "plot-label", list, 0), ("-osf", "observed-sizes", str, None), ("-esf", "expected-sizes", str, None), ("-minsf", "min-sizes", str, None), ("-maxsf", "max-sizes", str, None), ("-v", "verbose", bool, 0))
+    command(perform_consensus, ("-cf", "components", list, 0), ("-igf", "index-gene", list, 0), ("-elf", "edge-list", list, 0), ("-n", "networks", list, 0), ("-s", "scores", list, 0), ("-t", "threshold", int, 2), ("-cnf", "nodes-output", str, ...), ("-cef", "edges-output", str, ...), ("-v", "verbose", bool, 0))
+    command(generate_example_graph, ("-nf", "network", str, None), ("-igf", "index-gene", str, ...), ("-elf", "edge-list", str, ...), ("-gsfa", "scores-a", str, ...), ("-gsfb", "scores-b", str, ...), ("-pf", "plot", str, None))
     return top
 
 
@@ -127,7 +142,10 @@ def main(args: list[str] | None = None) -> int:
         options = parser().parse_args(args)
     except SystemExit as e:
         return int(e.code or 0)
-    options.function(session(), options)
+    if getattr(options, "verbose", False):
+        verbose()
+    with step(options.command):
+        options.function(session(), options)
     return 0
 
 

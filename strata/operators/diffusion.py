@@ -64,12 +64,11 @@ def heat_matrix(a: np.ndarray, t: float) -> np.ndarray:
 
 
 def long_form(spark: SparkSession, names: list, matrix: np.ndarray) -> DataFrame:
-    """(i, j, p) of a dense matrix; rows travel packed and are unpacked by the executors."""
-    rows = [(names[k], row.tolist()) for k, row in enumerate(matrix)]
+    """(i, j, p) of a dense matrix; rows travel packed and are unpacked by the executors, columns get their names by a join."""
     kind = "bigint" if not names or isinstance(names[0], (int, np.integer)) else "string"
-    packed = spark.createDataFrame(rows, f"i {kind}, p array<double>")
-    order = F.array(*[F.lit(x) for x in names])
-    return packed.select("i", F.posexplode("p").alias("k", "p")).select("i", F.element_at(order, F.col("k") + 1).cast(kind).alias("j"), "p")
+    packed = spark.createDataFrame([(names[k], row.tolist()) for k, row in enumerate(matrix)], f"i {kind}, p array<double>")
+    of = spark.createDataFrame([*enumerate(names)], f"k int, j {kind}")  # a name a row of the matrix
+    return packed.select("i", F.posexplode("p").alias("k", "p")).join(F.broadcast(of), "k").select("i", "j", "p")
 
 
 def balance(a: np.ndarray, beta: float, limit: float = 1.0) -> float:
@@ -86,29 +85,36 @@ def balance_of(similarity: DataFrame, adj: DataFrame, limit: float = 1.0) -> Dat
 
 
 def ridder(f: Callable[[float], float], low: float, high: float, tolerance: float, most_rounds: int = 100) -> float:
-    """A root of f between low and high by Ridders' method; a step stays half the tolerance within the interval, as in common libraries."""
+    """A root of f between low and high by Ridders' method (C. Ridders, 1979).
+
+    With f at both ends and in the middle, an exponential factor that makes the three values lie on a line gives the next
+    point: middle + (middle - low) * sign(f_low - f_high) * f_middle / sqrt(f_middle^2 - f_low f_high). Steps stay half the
+    tolerance inside the interval, so that it shrinks from both sides; it ends when it is narrower than the tolerance.
+    """
     f_low, f_high = f(low), f(high)
     if not f_low or not f_high:
         return low if not f_low else high
     if f_low * f_high > 0:
         raise ValueError("no change of sign")
-    allowed = tolerance
+    slack = tolerance
     for _ in range(most_rounds):
-        half = (high - low) / 2
-        middle = low + half
+        reach = (high - low) / 2
+        middle = low + reach
         f_middle = f(middle)
-        step = math.copysign(half, f_high - f_low) * f_middle / math.sqrt(f_middle**2 - f_low * f_high)
-        new = middle - math.copysign(min(abs(step), abs(half) - allowed / 2), step)
-        f_new = f(new)
-        if f_middle * f_new < 0:
-            low, f_low, high, f_high = new, f_new, middle, f_middle
-        elif f_low * f_new < 0:
-            high, f_high = new, f_new
+        move = abs(reach) * f_middle / math.sqrt(f_middle * f_middle - f_low * f_high)
+        move = math.copysign(min(abs(move), abs(reach) - slack / 2), move if f_high >= f_low else -move)
+        point = middle - move
+        f_point = f(point)
+        ends = [(low, f_low), (middle, f_middle), (high, f_high)]
+        if f_middle * f_point < 0:
+            (low, f_low), (high, f_high) = (point, f_point), ends[1]
+        elif f_low * f_point < 0:
+            high, f_high = point, f_point
         else:
-            low, f_low = new, f_new
-        allowed = tolerance + 4 * np.finfo(float).eps * new
-        if not f_new or abs(high - low) < allowed:
-            return new
+            low, f_low = point, f_point
+        slack = tolerance + 4 * np.finfo(float).eps * point
+        if not f_point or abs(high - low) < slack:
+            return point
     raise ValueError("no root found")
 
 

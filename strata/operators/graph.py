@@ -245,6 +245,11 @@ def _strong(u: list, v: list) -> dict:
     return named
 
 
+def index_vertices(nodes: DataFrame, positions: DataFrame) -> DataFrame:
+    """(position, node) of the nodes at the positions, counted from 1 in the order of nodes."""
+    return numbered(nodes.sparkSession, nodes.select("node").distinct(), "node", "position").join(positions, "position", "left_semi").select("position", "node")
+
+
 def threshold_edges(cells: DataFrame, limit: float, w: str = "w") -> DataFrame:
     """Cells of weight `limit` at most."""
     return cells.where(F.col(w) <= limit)

@@ -6,11 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.operators.graph import canonical_edges, connected_components, induced, largest_component
-from strata.tables import workers_see_package
+from strata.operators.ranking import ranked_within
+from strata.tables import settle, workers_see_package
+
+#: Scores or edges that every task of a seed holds: about 200 MB.
+MOST_IN_TASK = 1_000_000
 
 
 def scored_degrees(spark: SparkSession, edges: DataFrame, scores: DataFrame) -> DataFrame:
@@ -43,12 +47,14 @@ def permutation_bins(spark: SparkSession, edges: DataFrame, scores: DataFrame, l
 def permute_by_hash(scores: DataFrame, bins: DataFrame | None, runs: DataFrame) -> DataFrame:
     """(run, node, score): within each bin the nodes, ordered by a hash with the run, take the scores of the nodes in their own order.
 
-    Run 0 is as observed. Nodes in no bin keep their score. scores: node, score; bins: node, bin_id; runs: run.
+    Run 0 is as observed. Nodes in no bin keep their score. scores: node, score; bins: node, bin_id; runs: run, a number for
+    each permutation asked for. A bin may hold all nodes (without bins it does): ranks are found range by range.
     """
     placed = scores.join(bins.select("node", "bin_id"), "node", "left") if bins is not None else scores.withColumn("bin_id", F.lit(0))
-    here = placed.where("bin_id is not null").withColumn("k", F.row_number().over(Window.partitionBy("bin_id").orderBy("node")))
-    each = here.select("node", "bin_id").join(F.broadcast(runs.where("run > 0")))
-    mixed = each.withColumn("k", F.row_number().over(Window.partitionBy("run", "bin_id").orderBy(F.md5(F.concat_ws(":", "run", "node")), "node")))
+    spark = scores.sparkSession
+    here = settle(spark, ranked_within(spark, placed.where("bin_id is not null"), ["bin_id"], ["node"], "k"), "bins")
+    each = here.select("node", "bin_id").join(F.broadcast(runs.where("run > 0"))).withColumn("mix", F.md5(F.concat_ws(":", "run", "node")))
+    mixed = ranked_within(spark, each, ["run", "bin_id"], ["mix", "node"], "k")
     moved = mixed.join(here.select("bin_id", "k", "score"), ["bin_id", "k"]).select("run", "node", "score")
     still = placed.where("bin_id is null").select("node", "score").join(F.broadcast(runs.where("run > 0"))).select("run", "node", "score")
     return moved.unionByName(still).unionByName(scores.join(F.broadcast(runs.where("run = 0"))).select("run", "node", "score"))
@@ -66,8 +72,13 @@ def shuffled(genes: list[str], scores: dict[str, float], bins: list[list[str]] |
 
 
 def permute_by_seed(spark: SparkSession, scores: DataFrame, bins: DataFrame | None, seeds: DataFrame) -> DataFrame:
-    """(run, node, score) by NumPy's legacy generator, a task for each seed; seeds: run. The scores, one value a node, are broadcast."""
+    """(run, node, score) by NumPy's legacy generator, a task for each seed; seeds: run.
+
+    The generator walks all nodes in one order, so the scores, one value a node, are broadcast; refused beyond MOST_IN_TASK
+    nodes, before anything is collected. permute_by_hash() has no such limit.
+    """
     workers_see_package(spark)
+    _check(scores, "scores", "permute_by_hash")
     values = {r["node"]: r["score"] for r in scores.select("node", "score").toLocalIterator()}
     of = None
     if bins is not None:
@@ -86,10 +97,32 @@ def permute_by_seed(spark: SparkSession, scores: DataFrame, bins: DataFrame | No
     return seeds.select(F.col("run").cast("int")).repartition(max(1, spark.sparkContext.defaultParallelism), "run").mapInPandas(work, f"run int, node {kind}, score double")
 
 
+def _check(rows: DataFrame, what: str, other: str) -> None:
+    n = rows.count()
+    if n > MOST_IN_TASK:
+        raise MemoryError(f"{n} {what} are too many for a task of a seed (at most {MOST_IN_TASK}); {other}")
+
+
 def swap_edges(edges: list[tuple], random: np.random.RandomState, swaps: int, most_tries: int, connected: bool = False) -> tuple[list[tuple], int]:
     """Edges after so many double-edge swaps: (a, b), (c, d) become (a, d), (c, b) if both are new and no loops."""
     edges = [tuple(e) for e in edges]
     known = {frozenset(e) for e in edges}
+    near: dict = {}
+    for u, v in edges if connected else ():
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+
+    def change(x: int, y: int, one: tuple, two: tuple) -> None:
+        for u, v in (edges[x], edges[y]) if connected else ():
+            near[u].discard(v)
+            near[v].discard(u)
+        known.difference_update((frozenset(edges[x]), frozenset(edges[y])))
+        edges[x], edges[y] = one, two
+        known.update((frozenset(one), frozenset(two)))
+        for u, v in (one, two) if connected else ():
+            near[u].add(v)
+            near[v].add(u)
+
     done = tries = 0
     while done < swaps and tries < most_tries and len(edges) > 1:
         tries += 1
@@ -101,36 +134,29 @@ def swap_edges(edges: list[tuple], random: np.random.RandomState, swaps: int, mo
         if x == y or len(one) < 2 or len(two) < 2 or one in known or two in known or one == two:
             continue
         before = edges[x], edges[y]
-        known -= {frozenset((a, b)), frozenset((c, d))}
-        known |= {one, two}
-        edges[x], edges[y] = (a, d), (c, b)
-        if connected and not _reaches(edges, a, b) or connected and not _reaches(edges, c, d):
-            known -= {one, two}
-            known |= {frozenset((a, b)), frozenset((c, d))}
-            edges[x], edges[y] = before
+        change(x, y, (a, d), (c, b))
+        if connected and not (_reaches(near, a, b) and _reaches(near, c, d)):
+            change(x, y, *before)
             continue
         done += 1
     return edges, done
 
 
-def _reaches(edges: list[tuple], a, b) -> bool:
-    near: dict = {}
-    for u, v in edges:
-        near.setdefault(u, []).append(v)
-        near.setdefault(v, []).append(u)
-    seen, todo = {a}, [a]
-    while todo:
-        for x in near.get(todo.pop(), []):
-            if x == b:
-                return True
-            if x not in seen:
-                seen.add(x)
-                todo.append(x)
+def _reaches(near: dict, a, b) -> bool:
+    """Whether a path leads from a to b, searched from both ends by turns, the smaller front first."""
+    fronts, seen = [{a}, {b}], [{a}, {b}]
+    while fronts[0] and fronts[1]:
+        k = 0 if len(fronts[0]) <= len(fronts[1]) else 1
+        fronts[k] = {x for u in fronts[k] for x in near.get(u, ()) if x not in seen[k]}
+        if fronts[k] & seen[1 - k]:
+            return True
+        seen[k] |= fronts[k]
     return False
 
 
 def permute_network(spark: SparkSession, edges: DataFrame, seeds: DataFrame, connected: bool = False, per_edge: float = 100.0) -> DataFrame:
-    """(run, u, v): one rewired network for each seed, with the degrees of the first. A chain of swaps is sequential, so a seed is a task.
+    """(run, u, v): one rewired network for each seed, with the degrees of the first. A chain of swaps is sequential, so a seed is a task,
+    and networks of more than MOST_IN_TASK edges are refused before anything is collected.
 
     connected: only the largest component is rewired, and stays connected.
     """
@@ -138,6 +164,8 @@ def permute_network(spark: SparkSession, edges: DataFrame, seeds: DataFrame, con
     pairs = canonical_edges(edges, "u", "v")
     if connected:
         pairs = induced(pairs, largest_component(connected_components(spark, pairs)))
+    pairs = settle(spark, pairs, "pairs")
+    _check(pairs, "edges", "permute scores instead")
     kind = dict(pairs.dtypes)["u"]
     start = sorted(tuple(r) for r in pairs.collect())  # every task walks from the whole network
     shared = spark.sparkContext.broadcast(start)

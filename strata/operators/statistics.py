@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 def on_grid(curves: DataFrame, grid: DataFrame) -> DataFrame:
     """(run, height, size): each curve on each height of the grid, as at its last height that is not lower.
 
-    One window a run over its own heights and the grid's, so nothing is compared pair by pair.
+    One window a run over its own heights and the grid's, so nothing is compared pair by pair. What is broadcast is a number
+    for each permutation asked for; the grid grows with the networks and is not.
     """
     runs = curves.select("run").distinct()
-    asked = F.broadcast(grid.select("height").distinct()).join(runs).select("run", "height", F.lit(None).cast("int").alias("size"), F.lit(1).alias("asked"))
+    asked = grid.select("height").distinct().join(F.broadcast(runs)).select("run", "height", F.lit(None).cast("int").alias("size"), F.lit(1).alias("asked"))
     both = curves.groupBy("run", "height").agg(F.max("size").alias("size")).select("run", "height", "size", F.lit(0).alias("asked")).unionByName(asked)
     order = Window.partitionBy("run").orderBy(F.desc("height"), "asked").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("size", F.last("size", ignorenulls=True).over(order)).where("asked = 1").select("run", "height", "size")
@@ -31,7 +32,7 @@ def ratios(curves: DataFrame, summary: DataFrame, least: float = 1, most: float
     """(run, height, size, ratio): observed over expected size, 0 for sizes out of bounds."""
     grid = summary.select(F.lit(None).cast("int").alias("size"), "height", "expected_size", F.lit(0).alias("own"))
     runs = curves.select("run").distinct()
-    both = F.broadcast(grid).join(runs).select("run", "height", "size", "expected_size", "own").unionByName(curves.select("run", "height", "size", F.lit(None).cast("double").alias("expected_size"), F.lit(1).alias("own")))
+    both = grid.join(F.broadcast(runs)).select("run", "height", "size", "expected_size", "own").unionByName(curves.select("run", "height", "size", F.lit(None).cast("double").alias("expected_size"), F.lit(1).alias("own")))
     order = Window.partitionBy("run").orderBy(F.desc("height"), "own").rowsBetween(Window.unboundedPreceding, 0)
     at = both.withColumn("expected_size", F.last("expected_size", ignorenulls=True).over(order)).where("own = 1")
     good = (F.col("size") >= least) & (F.col("size") <= most)

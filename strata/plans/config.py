@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -25,6 +25,22 @@ class PermutationConfig:
     by_hash: bool = False
 
 
+@dataclass(frozen=True)
+class ScoringConfig:
+    """What is done to a score set before its hierarchy is made."""
+
+    log_transform: bool = False
+    score_threshold: float | None = None
+
+
+@dataclass(frozen=True)
+class RuntimeConfig:
+    """n_jobs: partitions of what runs side by side, -1 for as many as the session has cores; verbose: steps are logged."""
+
+    n_jobs: int = -1
+    verbose: bool = False
+
+
 @dataclass(frozen=True)
 class HierarchyConfig:
     score_threshold: float | None = None
@@ -55,6 +71,11 @@ class PipelineConfig:
     consensus: ConsensusConfig = field(default_factory=ConsensusConfig)
     workdir: str | None = None
     reuse: bool = False
+    runtime: RuntimeConfig = field(default_factory=RuntimeConfig)
+
+    def with_scoring(self, scoring: ScoringConfig) -> PipelineConfig:
+        """The same with other preprocessing of scores."""
+        return replace(self, hierarchy=replace(self.hierarchy, score_threshold=scoring.score_threshold, log_transform=scoring.log_transform))
 
     def fingerprint(self, inputs: str) -> str:
         """Of what the permuted scores and hierarchies depend on."""

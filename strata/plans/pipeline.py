@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from strata.functions.scores import transform
 from strata.operators import consensus, diffusion, graph, hierarchy, null_model, statistics
 from strata.plans.config import PipelineConfig
-from strata.plans.steps import step
+from strata.plans.steps import step, verbose
 from strata.sources import store as stores
 from strata.sources import text
 from strata.tables import settle
@@ -43,6 +43,8 @@ def _mark(df: DataFrame) -> str:
 def run_pipeline(spark: SparkSession, edges: DataFrame, nodes: DataFrame, scores: DataFrame, config: PipelineConfig | None = None) -> PipelineResult:
     """edges: src, dst and, if used, weight; nodes: idx, gene; scores: label, gene, score."""
     config = config or PipelineConfig()
+    if config.runtime.verbose:
+        verbose()
     if config.reuse and not config.workdir:
         raise ValueError("reuse needs a working folder")
     if "weight" not in edges.columns:
@@ -67,6 +69,8 @@ def run_pipeline(spark: SparkSession, edges: DataFrame, nodes: DataFrame, scores
             with step(f"permutations and hierarchies of {label}"):
                 permuted = _permuted(spark, pairs, own, wanted, config)
                 used = transform(permuted, config.hierarchy.score_threshold, config.hierarchy.log_transform)
+                if config.runtime.n_jobs > 0:
+                    used = used.repartition(config.runtime.n_jobs, "run")
                 made = hierarchy.hierarchies(spark, used, genes, matrix, "curve", **heights)
                 done.put(settle(spark, made, "curves"))
         curves = done.table().where(F.col("run").isin(runs)).select(F.when(F.col("run") == 0, 0).otherwise(F.col("run") - config.permutation.seed_offset).cast("int").alias("run"), "height", "size")

@@ -19,7 +19,7 @@ from strata.tables import settle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-RUNS = 20
+RUNS = 100
 CUT = 4
 LEAST_BIN = 30
 BETA = 0.4
@@ -111,8 +111,10 @@ SQL["edge_upsert"] = f"with {N2}, one as (select least(u, v) i, greatest(u, v) j
 
 
 def _supplier_nodes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Odd suppliers' edges among themselves, and all suppliers."""
-    edges = networks.supplier_network(spark, sf_dir).where("u % 2 = 1 and v % 2 = 1").select(F.col("u").alias("src"), F.col("v").alias("dst"))
+    """Pairs of suppliers that share at least four fifths of the most orders that any pair shares, and all suppliers."""
+    pairs = settle(spark, networks.co_orders(spark, sf_dir).where("u < v"), "pairs")
+    most = pairs.agg(F.max("n").alias("most"))  # one row
+    edges = pairs.join(F.broadcast(most)).where("5 * n >= 4 * most").select(F.col("u").alias("src"), F.col("v").alias("dst"))
     return edges, networks.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("idx"), F.col("s_name").alias("gene"))
 
 
@@ -121,8 +123,8 @@ def isolated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.isolated_nodes(nodes, edges)
 
 
-ODD = f"{N1}, odd as (select * from n1 where u % 2 = 1 and v % 2 = 1), ends as (select u x from odd union select v from odd)"
-SQL["isolated_nodes"] = f"with {ODD} select s_suppkey idx, s_name gene from supplier where s_suppkey not in (select x from ends)"
+STRONG = f"{N1}, strong as (select u, v from co where u < v and 5 * n >= 4 * (select max(n) from co)), ends as (select u x from strong union select v from strong)"
+SQL["isolated_nodes"] = f"with {STRONG} select s_suppkey idx, s_name gene from supplier where s_suppkey not in (select x from ends)"
 
 
 def drop_isolated_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +132,7 @@ def drop_isolated_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.drop_isolated_nodes(settle(spark, edges, "edges"), nodes)[0]
 
 
-SQL["drop_isolated_reindex"] = f"with {ODD}, num as (select x, cast(row_number() over (order by x) as integer) k from ends where x in (select s_suppkey from supplier)) select a.k src, b.k dst from odd join num a on u = a.x join num b on v = b.x"
+SQL["drop_isolated_reindex"] = f"with {STRONG}, num as (select x, cast(row_number() over (order by x) as integer) k from ends where x in (select s_suppkey from supplier)) select a.k src, b.k dst from strong join num a on u = a.x join num b on v = b.x"
 
 
 def scored_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -250,7 +252,7 @@ def permute_scores_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def permute_network(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rewired supplier networks."""
-    return null_model.permute_network(spark, networks.supplier_network(spark, sf_dir), spark.range(1, 3).select(F.col("id").cast("int").alias("run")), per_edge=10)
+    return null_model.permute_network(spark, networks.supplier_network(spark, sf_dir), spark.range(1, 3).select(F.col("id").cast("int").alias("run")))
 
 
 def permute_network_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,11 +302,6 @@ def ppr_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["ppr_exact"] = f"with {_ppr_sql(40)} select a.i, b.i j, round(coalesce(p, 0), 4) p from un a cross join un b left join p40 on p40.i = a.i and p40.j = b.i"
 
 
-def heat_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names, a = diffusion.dense(edge_upsert(spark, sf_dir))
-    return diffusion.long_form(spark, names, diffusion.heat_matrix(a / max(a.max(), 1), 0.1))
-
-
 def balance_objective(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Balance of the iterated similarity on the trade network's cells of median weight or more."""
     cells = settle(spark, _trade(spark, sf_dir), "cells")
@@ -558,15 +555,19 @@ OPERATORS: tuple[Query, ...] = (
     degree, weighted_degree, laplacian, walk_matrix, canonical_edges, gene_label_edges, edge_upsert, isolated_nodes, drop_isolated_reindex, scored_subgraph,
     connected_components, largest_component, threshold_edges, distinct_weights, subproblem_index, slice_array, scc_at_threshold, condense_graph,
     permutation_bins, permute_scores_hash, permute_scores_numpy, permute_network, permute_network_invariants, combined_similarity, ppr_iterative, ppr_exact,
-    heat_kernel, balance_objective, balanced_beta, widest_path_closure, merge_matrix, height_to_clusters, height_to_sizes, size_curve, cut_clusters, run_curves,
+    balance_objective, balanced_beta, widest_path_closure, merge_matrix, height_to_clusters, height_to_sizes, size_curve, cut_clusters, run_curves,
     size_summary, best_cut, p_value, process_hierarchies, consensus_votes, consensus_edges, consensus_nodes, score_threshold, log_transform, plot_data,
     parse_index, parse_edge_list, parse_scores,
 )
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: q for q in OPERATORS}
+    from strata import queries_stores
+
+    return {q.__name__: q for q in OPERATORS} | queries_stores.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    from strata import queries_stores
+
+    return SQL | queries_stores.oracle_sql()

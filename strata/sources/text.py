@@ -13,6 +13,9 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strata.functions.scores import inverse_height
+from strata.operators.ranking import numbered
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(value, line): the lines of a file, numbered in its order; a file is one line table, however many tasks read it."""
@@ -68,11 +71,8 @@ def parse_scores(lines: DataFrame, least: float = 0.0) -> DataFrame:
 
 def parse_bins(lines: DataFrame) -> DataFrame:
     """(bin_id, gene): a bin a line, tab-separated; empty lines and comments are no bins."""
-    from pyspark.sql import Window
-
-    own = lines.where(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    own = own.withColumn("bin_id", F.row_number().over(Window.orderBy("line")) - 1)
-    return own.select("bin_id", F.explode(F.split(F.trim("value"), "\t")).alias("gene"))
+    own = numbered(lines.sparkSession, lines.where(~F.col("value").startswith("#") & (F.trim("value") != "")), "line", "bin_id")
+    return own.select((F.col("bin_id") - 1).alias("bin_id"), F.explode(F.split(F.trim("value"), "\t")).alias("gene"))
 
 
 def parse_components(lines: DataFrame) -> DataFrame:
@@ -122,9 +122,17 @@ def load_components(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _write(path: str, lines: list[str], end: str = "") -> None:
-    """Small results go to one file on the driver, as people read them; large ones are tables."""
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text("\n".join(lines) + end)
+    """Small results go to one file, as people read them, in a local folder or a store that Spark reaches; large ones are tables."""
+    said = "\n".join(lines) + end
+    if "://" not in path:
+        Path(path).parent.mkdir(parents=True, exist_ok=True)
+        Path(path).write_text(said)
+        return
+    context = SparkSession.active().sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where, True)
+    stream.write(bytearray(said.encode()))
+    stream.close()
 
 
 def save_index_gene(path: str, nodes: DataFrame) -> None:
@@ -154,14 +162,15 @@ def sorted_clusters(clusters: DataFrame) -> list[list[str]]:
 
 def save_clusters(path: str, result: dict, clusters: DataFrame) -> None:
     """Six lines of statistics, then a cluster a line."""
-    three = lambda x: "nan" if x is None else f"{x:.3f}"
+    number = lambda x: "nan" if x is None else x
+    # fixed values: the lines that readers of such files expect
     head = [
-        f"# p-value: {result['p_value']}",
-        f"# Observed size of largest cluster: {result['cut_size']}",
-        f"# Expected size of largest cluster: {three(result['expected_cut_size'])}",
-        f"# Observed ratio: {three(result['cut_ratio'])}",
-        f"# Expected ratio: {three(result['expected_ratio'])}",
-        f"# Height of cut: {result['cut_height']}",
+        f"# Observed cut height: {result['cut_height']}",
+        f"# Observed size of largest cluster at observed cut height: {result['cut_size']}",
+        f"# Expected size of largest cluster at observed cut height: {number(result['expected_cut_size'])}",
+        f"# Observed maximum ratio statistic: {number(result['cut_ratio']):.3f}",
+        f"# Expected maximum ratio statistic: {float(number(result['expected_ratio'])):.3f}",
+        f"# p-value: {number(result['p_value'])}",
         "# Clusters:",
     ]
     _write(path, head + ["\t".join(map(str, c)) for c in sorted_clusters(clusters)])
@@ -173,6 +182,15 @@ def save_curve(path: str, curve: DataFrame) -> None:
     _write(path, head + ["\t".join(str(r[c]) for c in columns) for r in curve.orderBy(F.desc("height")).toLocalIterator()])
 
 
+def save_points(path: str, label: str, observed: DataFrame, summary: DataFrame, cut: float) -> None:
+    """What a plot of sizes over 1 / height shows, a point a line: series, x, size. Drawing is left to other programs."""
+    x = inverse_height(F.col("height"))
+    lines = [f"# {label}", "# series\tx\tsize"]
+    for name, table, column in (("observed", observed, "size"), *((c.removesuffix("_size"), summary, c) for c in ("min_size", "expected_size", "max_size"))):
+        lines += [f"{name}\t{r['x']}\t{r[column]}" for r in table.select(x.alias("x"), column, "height").orderBy(F.desc("height")).toLocalIterator()]
+    _write(path, [*lines, f"cut\t{1 / max(cut, 1e-15)}\t"])
+
+
 def save_consensus(nodes_path: str, edges_path: str, nodes: DataFrame, edges: DataFrame) -> None:
     _write(nodes_path, ["\t".join(map(str, c)) for c in sorted_clusters(nodes.withColumnRenamed("group_id", "cluster"))])
     _write(edges_path, [f"{r['u']}\t{r['v']}" for r in edges.orderBy("u", "v").toLocalIterator()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +24,15 @@ def example_pairs() -> list[tuple[str, str]]:
     return pairs + [(hub, group[0 if group != ring else 2]) if group != chords else (hub, chords[4]) for group in (clique, chords, ring)]
 
 
+def positions() -> dict[str, tuple[float, float]]:
+    """Where to draw each node: three circles around the node that joins them."""
+    around = {group: centre for group, centre in ((NAMES[:8], (-2, 0)), (NAMES[8:16], (2, 0)), (NAMES[16:24], (0, -2)))}
+    out = {name: (math.cos(math.pi * k / 4) + x, math.sin(math.pi * k / 4) + y) for group, (x, y) in around.items() for k, name in enumerate(group)}
+    return out | {NAMES[24]: (0.0, 0.0)}
+
+
 def example_graph(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """edges(src, dst), nodes(idx, gene) and scores(label, gene, score)."""
+    """edges(src, dst), nodes(idx, gene) and scores(label, gene, score), as in the example's data files (a generator of them may give `i` another second score, 0.7)."""
     index = {g: k + 1 for k, g in enumerate(NAMES)}
     edges = spark.createDataFrame([(index[u], index[v]) for u, v in example_pairs()], "src int, dst int")
     nodes = spark.createDataFrame([(k, g) for g, k in index.items()], "idx int, gene string")

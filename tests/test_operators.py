@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from strata import tables
-from strata.operators import consensus, diffusion, graph, hierarchy, null_model, statistics
+from strata.operators import consensus, diffusion, graph, hierarchy, null_model, ranking, statistics
 from strata.sources import text, toy
 
 # The seven-node digraph of Tarjan (1983).
@@ -147,7 +147,8 @@ def test_swaps_keep_degrees():
         assert done == 60 and degrees(out) == degrees(edges)
         assert len({frozenset(e) for e in out}) == len(edges) and all(len(set(e)) == 2 for e in out)
         if connected:
-            assert all(null_model._reaches(out, "a", x) for x in toy.NAMES[1:])
+            near = {x: {y for e in out if x in e for y in e if y != x} for x in toy.NAMES}
+            assert all(null_model._reaches(near, "a", x) for x in toy.NAMES[1:])
 
 
 def test_ridder_and_fallback():
@@ -251,3 +252,64 @@ def test_steps_name_what_fails(caplog):
         1 / 0
     assert e.value.__notes__ == ["in dividing"]
     verbose(False)
+
+
+def test_ranks_within_large_groups(spark):
+    """One group with nearly all rows, and ranges that cut it."""
+    rows = [("a", k * 7919 % 5003) for k in range(5003)] + [("b", k) for k in range(3)]
+    table = spark.createDataFrame(rows, "g string, x int")
+    found = {(r["g"], r["x"]): r["k"] for r in ranking.ranked_within(spark, table, ["g"], ["x"], "k").collect()}
+    assert found == {(g, x): x + 1 for g, x in rows}
+    values = spark.createDataFrame([(float(k), (k * 31) % 97) for k in range(400)], "h double, n int")
+    most, expected = 0, {}
+    for k in range(399, -1, -1):
+        most = max(most, (k * 31) % 97)
+        expected[float(k)] = most
+    assert {r["h"]: r["n"] for r in ranking.running_max(spark, values, "h", "n").collect()} == expected
+
+
+def test_heights_snap_to_the_nearest_weight(spark):
+    """Below all, above all, on one, nearer to either side, and between two equally near."""
+    heights = spark.createDataFrame([(h,) for h in (-1.0, 1.0, 1.4, 1.5, 1.9, 7.0, 30.0, 3.0)], "height double")
+    weights = spark.createDataFrame([(w,) for w in (1.0, 2.0, 4.0, 20.0, 2.0)], "w double")
+    assert {r["height"]: r["weight"] for r in hierarchy.snapped(heights, weights).collect()} == {-1.0: 1.0, 1.0: 1.0, 1.4: 1.0, 1.5: 2.0, 1.9: 2.0, 3.0: 4.0, 7.0: 4.0, 30.0: 20.0}
+
+
+def test_trees_are_the_merges(spark):
+    rng = np.random.RandomState(6)
+    w = rng.randint(1, 9, (12, 12)).astype(float) * (rng.uniform(size=(12, 12)) < 0.4)
+    np.fill_diagonal(w, 0)
+    m = hierarchy.merge_matrix(w)
+    merged = spark.createDataFrame([(f"n{u:02}", f"n{v:02}", float(m[u, v])) for u, v in zip(*np.nonzero(m))], "u string, v string, h double")
+    nodes = spark.createDataFrame([(f"n{k:02}",) for k in range(12)], "node string")
+    edges, leaves = hierarchy.tree(spark, merged, nodes)
+    rows = edges.collect()
+    assert [r["gene"] for r in leaves.orderBy("idx").collect()] == [f"n{k:02}" for k in range(12)]
+    assert len({r["child"] for r in rows}) == len(rows) and all(r["child"] < r["parent"] for r in rows)
+    assert sorted(map(tuple, hierarchy.merges_of_tree(spark, edges, leaves).collect())) == sorted(map(tuple, merged.collect()))
+    for one, two in ((merged.selectExpr("1 run"), leaves.selectExpr("2 run", "idx", "gene")), (merged.selectExpr("1 run").limit(0), leaves.selectExpr("2 run", "idx", "gene"))):
+        with pytest.raises(ValueError):
+            hierarchy.zipped(one, two)
+
+
+def test_what_does_not_fit_a_task_is_refused(spark, monkeypatch):
+    monkeypatch.setattr(null_model, "MOST_IN_TASK", 2)
+    scores = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0)], "node string, score double")
+    with pytest.raises(MemoryError, match="permute_by_hash"):
+        null_model.permute_by_seed(spark, scores, None, spark.createDataFrame([(1,)], "run int"))
+    with pytest.raises(MemoryError):
+        null_model.permute_network(spark, spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "u int, v int"), spark.createDataFrame([(1,)], "run int"))
+
+
+def test_swaps_keep_a_network_connected():
+    edges = [(k, k + 1) for k in range(30)] + [(0, 15), (7, 22), (3, 28)]
+    out, done = null_model.swap_edges(edges, np.random.RandomState(3), 60, 5000, connected=True)
+    seen, todo = {0}, [0]
+    while todo:
+        x = todo.pop()
+        for u, v in out:
+            for a, b in ((u, v), (v, u)):
+                if a == x and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+    assert done == 60 and len(seen) == 31 and len({frozenset(e) for e in out}) == len(edges)

@@ -111,14 +111,16 @@ def test_a_working_folder_is_taken_up_again(spark, tmp_path):
     def config(n, reuse=True):
         return PipelineConfig(permutation=PermutationConfig(n, by_hash=True), statistics=StatisticsConfig(1), workdir=f"file://{tmp_path}/work", reuse=reuse)
 
-    run_pipeline(spark, *example_graph(spark), config(4))
+    edges, nodes, scores = example_graph(spark)
+    tables = edges, nodes, scores.where("label = 'scores_1'")
+    run_pipeline(spark, *tables, config(4))
     folder = next((tmp_path / "work").iterdir()) / "scores_1" / "curves"
     before = {p.name: p.stat().st_mtime_ns for p in folder.iterdir() if p.name.startswith("run=")}
     assert sorted(before) == [f"run={k}" for k in range(5)]
-    more = run_pipeline(spark, *example_graph(spark), config(6))
+    more = run_pipeline(spark, *tables, config(6))
     after = {p.name: p.stat().st_mtime_ns for p in folder.iterdir() if p.name.startswith("run=")}
     assert sorted(after) == [f"run={k}" for k in range(7)] and {k: after[k] for k in before} == before
-    whole = run_pipeline(spark, *example_graph(spark), PipelineConfig(permutation=PermutationConfig(6, by_hash=True), statistics=StatisticsConfig(1)))
+    whole = run_pipeline(spark, *tables, PipelineConfig(permutation=PermutationConfig(6, by_hash=True), statistics=StatisticsConfig(1)))
     assert more.labels["scores_1"].statistics == whole.labels["scores_1"].statistics
 
 

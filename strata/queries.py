@@ -129,10 +129,11 @@ SQL["isolated_nodes"] = f"with {STRONG} select s_suppkey idx, s_name gene from s
 
 def drop_isolated_reindex(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, nodes = _supplier_nodes(spark, sf_dir)
-    return graph.drop_isolated_nodes(settle(spark, edges, "edges"), nodes)[0]
+    kept = graph.drop_isolated_nodes(settle(spark, edges, "edges"), nodes)[0]
+    return kept.select(F.col("src").cast("int").alias("src"), F.col("dst").cast("int").alias("dst"))
 
 
-SQL["drop_isolated_reindex"] = f"with {STRONG}, num as (select x, cast(row_number() over (order by x) as integer) k from ends where x in (select s_suppkey from supplier)) select a.k src, b.k dst from strong join num a on u = a.x join num b on v = b.x"
+SQL["drop_isolated_reindex"] = f"with {STRONG}, lone as (select count(*) n from supplier where s_suppkey not in (select x from ends)), num as (select x, cast(case when (select n from lone) = 0 then x else row_number() over (order by x) end as integer) k from ends where x in (select s_suppkey from supplier)) select a.k src, b.k dst from strong join num a on u = a.x join num b on v = b.x"
 
 
 def scored_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import math
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.blas import one_thread
 from strata.functions.scores import unit_weights
 from strata.operators.graph import adjacency, walk_matrix
-from strata.tables import settle
+from strata.tables import release, settle, workers_see_package
 
 #: Nodes up to which a dense matrix is built; 8 n^2 bytes.
 MOST_DENSE = 6000
+#: Nodes of a block whose Krylov vectors are worked on side by side, and numbers of such a block gathered at once; blocks of a task.
+BLOCK, GATHERED, BLOCKS_A_TASK = 64, 4_000_000, 4
 
 
 def restart_similarity_iterative(spark: SparkSession, adj: DataFrame, beta: float, steps: int = 1) -> DataFrame:
@@ -101,7 +104,7 @@ def ridder(f: Callable[[float], float], low: float, high: float, tolerance: floa
         reach = (high - low) / 2
         middle = low + reach
         f_middle = f(middle)
-        move = abs(reach) * f_middle / math.sqrt(f_middle * f_middle - f_low * f_high)
+        move = reach * f_middle / math.sqrt(f_middle * f_middle - f_low * f_high)  # reach is negative where the interval is held the other way round
         move = math.copysign(min(abs(move), abs(reach) - slack / 2), move if f_high >= f_low else -move)
         point = middle - move
         f_point = f(point)
@@ -120,14 +123,145 @@ def ridder(f: Callable[[float], float], low: float, high: float, tolerance: floa
 
 def balanced_beta(a: np.ndarray, limit: float = 1.0, digits: int = 2) -> float:
     """The restart probability at which the balance is zero; 0.5, with a warning, where there is none."""
+    return _root(lambda b: balance(a, b, limit), digits)
+
+
+def _root(f: Callable[[float], float], digits: int) -> float:
     least = 0.1**digits
     try:
-        return ridder(lambda b: balance(a, b, limit), least, 1 - least, 0.1 ** (digits + 1))
+        return ridder(f, least, 1 - least, 0.1 ** (digits + 1))
     except (ValueError, np.linalg.LinAlgError, ZeroDivisionError) as e:
-        warnings.warn(f"beta is set to 0.5: {e}", UserWarning, stacklevel=2)
+        warnings.warn(f"beta is set to 0.5: {e}", UserWarning, stacklevel=3)
         return 0.5
 
 
+def balanced_beta_of(spark: SparkSession, adj: DataFrame, digits: int = 2) -> float:
+    """balanced_beta() of an undirected network of weight 1, from its cells (i, j, w); no matrix, so networks of any size that a worker can list.
+
+    Of a symmetric 0/1 matrix A with degrees d, P = (1 - beta) P W + beta I and A P = W D P give the mass on the network by
+    the diagonal of P alone: trace(A P) = sum of d (P_jj - beta) / (1 - beta). All columns of P sum to one, which gives the rest.
+    P_jj = beta e (I - (1 - beta) S)^-1 e, with S = D^-1/2 A D^-1/2 and e of node j, comes from the Lanczos process on S
+    from e, the same for every beta; see `diagonals`.
+    """
+    cells = settle(spark, adj.select("i", "j", "w"), "cells")
+    start, near, names = _listed(cells)
+    release(cells)
+    d = settle(spark, diagonals(spark, start, near, 0.1**digits), "diagonals")
+
+    def f(beta: float) -> float:
+        p = diagonal(beta)
+        own, on = d.agg(F.sum(p), F.sum((F.col("degree") * (p - beta)) / (1 - beta) - F.col("loop") * p)).first()
+        return 2 * (on or 0.0) - (len(names) - (own or 0.0))
+
+    try:
+        return _root(f, digits)
+    finally:
+        release(d)
+
+
+def _listed(cells: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Neighbours of node k: near[start[k]:start[k + 1]], in order; nodes of one component are numbered in a row. Refused if not 0/1 and symmetric."""
+    table = cells.toPandas()
+    codes, names = pd.factorize(np.concatenate([table["i"].to_numpy(), table["j"].to_numpy()]), sort=True)
+    n = len(names)
+    i, j = codes[: len(table)].astype(np.int64), codes[len(table) :].astype(np.int64)
+    key = np.sort(i * n + j)
+    if (table["w"].to_numpy(float) != 1).any() or (key[1:] == key[:-1]).any() or (key != np.sort(j * n + i)).any():
+        raise ValueError("an undirected network of weight 1 is needed")
+    order = np.argsort(_components(n, *np.divmod(key, max(n, 1))), kind="stable")
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    key = np.sort(place[i] * n + place[j])
+    start = np.searchsorted(key, np.arange(n + 1) * n)
+    return start, (key % max(n, 1)).astype(np.int32), names[order]
+
+
+def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Least node of each node's component; cells both ways, in order of i, at least one a node."""
+    root = np.arange(n)
+    while n:
+        low = np.minimum(root, np.minimum.reduceat(root[j], np.searchsorted(i, np.arange(n))))
+        np.minimum.at(low, root, low.copy())  # what a node has found, its root has found
+        low = low[low]
+        if (low == root).all():
+            break
+        root = low
+    return root
+
+
+def lanczos(start: np.ndarray, near: np.ndarray, columns: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Diagonals and squared off-diagonals (a row a column) of the Lanczos matrices T of S from the unit vectors of these columns.
+
+    The first entry of (I - c T)^-1 is a Gauss quadrature: it grows towards that of S with every step, and the Gauss-Radau
+    quadrature with a node above all eigenvalues stays above it. Steps end when the two agree to 1e-13 at c = 1 - least, where they are slowest.
+    """
+    degree = np.diff(start)
+    scale = 1 / np.sqrt(degree)[:, None]
+    c, above = 1 - least, 1 + least / 4
+    v = np.zeros((len(degree), len(columns)))
+    v[columns, np.arange(len(columns))] = 1
+    before, link2 = np.zeros_like(v), np.zeros(len(columns))
+    alphas, links = [], []
+    low, weight, pivot, radau = np.zeros(len(columns)), np.ones(len(columns)), None, None
+    going = np.ones(len(columns), bool)
+    while going.any():
+        w = scale * np.add.reduceat((scale * v)[near], start[:-1], axis=0) - np.sqrt(link2) * before
+        alpha = (v * w).sum(0)
+        w -= alpha * v
+        if pivot is None:
+            pivot, radau = 1 - c * alpha, alpha - above
+            low = 1 / pivot
+        else:
+            step = c * c * link2
+            low = low + step * weight / (pivot * ((1 - c * alpha) * pivot - step))
+            weight = weight * step / pivot**2
+            pivot, radau = 1 - c * alpha - step / pivot, alpha - above - link2 / radau
+        alphas.append(np.where(going, alpha, 0.0))
+        link2 = (w * w).sum(0)
+        step = c * c * link2
+        gap = step * weight / (pivot * ((1 - c * (above + link2 / radau)) * pivot - step))
+        going &= (link2 > 1e-26) & ~(np.abs(gap) <= 1e-13 * low)
+        link2 = np.where(going, link2, 0.0)
+        links.append(link2)
+        before, v = v, w / np.sqrt(np.where(going, link2, 1.0)) * going
+    return np.stack(alphas, 1), np.stack(links, 1)
+
+
+def diagonals(spark: SparkSession, start: np.ndarray, near: np.ndarray, least: float) -> DataFrame:
+    """degree, loop, and `steps` (alpha, link) for each node; the network's list is broadcast, and a block of nodes needs its components' rows only."""
+    workers_see_package(spark)
+    n = len(start) - 1
+    shared = spark.sparkContext.broadcast((start, near))
+    blocks = -(-n // BLOCK)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        start, near = shared.value
+        node = np.repeat(np.arange(n), np.diff(start))
+        root = _components(n, node, near)
+        for batch in batches:
+            for block in batch["id"]:
+                a, b = block * BLOCK, min(n, (block + 1) * BLOCK)
+                first, end = root[a], np.searchsorted(root, root[b - 1], "right")
+                part = slice(start[first], start[end])
+                own, inside = start[first : end + 1] - start[first], near[part] - first
+                loops = np.zeros(end - first)
+                loops[inside[inside == node[part] - first]] = 1
+                width = max(1, GATHERED // len(inside))
+                for at in range(a - first, b - first, width):
+                    columns = np.arange(at, min(at + width, b - first))
+                    alpha, link = lanczos(own, inside, columns, least)
+                    yield pd.DataFrame({"degree": np.diff(own)[columns].astype(float), "loop": loops[columns], "alpha": list(alpha), "link": list(link)})
+
+    made = spark.range(0, blocks, 1, max(1, -(-blocks // BLOCKS_A_TASK))).mapInPandas(work, "degree double, loop double, alpha array<double>, link array<double>")
+    return made.select("degree", "loop", F.reverse(F.arrays_zip("alpha", "link")).alias("steps"))
+
+
+def diagonal(beta: float) -> Column:
+    """P_jj from `steps`, last first: a continued fraction."""
+    c = 1 - beta
+    return beta * F.aggregate("steps", F.lit(math.inf), lambda x, s: 1 - c * s["alpha"] - c * c * s["link"] / x) ** -1
+
+
 def similarity(spark: SparkSession, edges: DataFrame, directed: bool = False, beta: float | None = None, limit: float = 1.0, digits: int = 2, use_edge_weights: bool = False) -> tuple[list, np.ndarray, float]:
     """Names of rows, similarity matrix and restart probability of a network that fits a dense matrix."""
     if beta is not None and not 0 < beta < 1:

@@ -315,8 +315,7 @@ SQL["balance_objective"] = f"with {_ppr_sql(STEPS)}, {MEDIAN} select round(sum(c
 
 def balanced_beta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Restart probability of the supplier network."""
-    _, a = diffusion.dense(_unit_trade(spark, sf_dir))
-    return spark.createDataFrame([(round(diffusion.balanced_beta(a), 6),)], "beta double")
+    return spark.createDataFrame([(round(diffusion.balanced_beta_of(spark, _unit_trade(spark, sf_dir)), 6),)], "beta double")
 
 
 def widest_path_closure(spark: SparkSession, sf_dir: str) -> DataFrame:

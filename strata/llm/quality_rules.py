@@ -3,7 +3,7 @@
 A document's histogram of character classes and its histogram of common words are compared with those of each
 reference language by Jensen-Shannon distance (base 2, 0 to 1). The closest language counts, so neither the declared
 nor a predicted language is needed. Every language that enough rows are labelled with is a reference: its common words
-are those in most documents of a sample, drawn by a hash of the id and bounded (`Rules.learn_from` a language); its histograms are
+are those in most of all its documents; its histograms are
 means over all its documents that pass the base rule and are not far from its medians, each document weighing the same.
 
 The limit of word distances falls with the length of a text, as a sample of few words is far from any reference by chance,
@@ -18,6 +18,8 @@ rows give repeated results. Columns other than those named are neither read nor
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import as_bytes, documents, extend, keep_rows, per_batch, runs, settle, sums
+from strata.llm.common import CACHE_ENTRIES, as_bytes, documents, extend, give_back, keep_rows, per_batch, prepare, runs, settle, sums, to_arrow
 
 #: Classes of characters by the first byte of their UTF-8.
 CLASSES = ("vowel", "consonant", "upper", "digit", "space", "newline", "stop", "quote", "symbol", "other", "two", "three", "four")
@@ -44,6 +46,8 @@ def _class_of_byte() -> np.ndarray:
 CLASS_OF_BYTE = _class_of_byte()
 SYMBOLS = np.array(list(b"#*$%&|<>"))
 WHITE = np.array(list(b" \t\n\v\f\r"))
+#: Counts of words that a task hands over at once.
+COUNTS_A_BATCH = 50_000
 EDGES = "\"'()[]{}.,;:!?*#$%&|<>-_+=/\\~`^@"
 
 
@@ -51,8 +55,9 @@ EDGES = "\"'()[]{}.,;:!?*#$%&|<>-_+=/\\~`^@"
 class Rules:
     """Limits of the verdict, and how references are learned.
 
-    The limit of word distances is word_noise / sqrt(words), between least_word_limit and 1. learn_from: about twice so many
-    documents of a language at most are drawn for its common words; least_documents: with fewer rows labelled so a language is no reference.
+    The limit of word distances is word_noise / sqrt(words), between least_word_limit and 1. least_documents: with fewer rows labelled so
+    a language is no reference. learn_from is read by the SQL of the query only, which draws about twice so many documents of a language
+    at most for its common words; the operator counts all.
     """
 
     least_words: int = 50
@@ -144,24 +149,59 @@ def figures(column: pa.Array, rules: Rules, common: dict[str, list[str]]) -> dic
     return out
 
 
+class Plain(dict):
+    """Plain forms of words, found once each."""
+
+    def __missing__(self, word: bytes) -> str:
+        if len(self) >= CACHE_ENTRIES:
+            self.clear()
+        self[word] = found = plain_word(word)
+        return found
+
+
+def document_counts(spark: SparkSession, labelled: DataFrame) -> DataFrame:
+    """lang, word and n, documents with the word in some of a task's rows; labelled: lang, text. Every word of every text is counted."""
+    prepare(spark)
+    schema = "lang string, word string, n long"
+    arrow = to_arrow(spark, schema)
+
+    def rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for lang, of in counts.items():
+            of.pop("", None)
+            words, n = list(of), list(of.values())
+            for s in range(0, len(words), COUNTS_A_BATCH):
+                part = words[s : s + COUNTS_A_BATCH]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part, pa.string()), pa.array(n[s : s + COUNTS_A_BATCH], pa.int64())], schema=arrow)
+        counts.clear()
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, counts, held = Plain(), defaultdict(Counter), 0
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), as_bytes(batch.column("text"))):
+                own = counts[lang]
+                held -= len(own)
+                own.update(set(map(plain.__getitem__, set(text.split()))))
+                held += len(own)
+                if held > CACHE_ENTRIES:  # what is held is handed over; its sums are made afterwards
+                    yield from rows(counts)
+                    held = 0
+        yield from rows(counts)
+        plain.clear()
+        give_back()
+
+    return labelled.select("lang", "text").mapInArrow(each, schema)
+
+
 def learn_words(spark: SparkSession, docs: DataFrame, rules: Rules) -> dict[str, list[str]]:
-    """Each language's common words, of most documents first; docs: doc_id, text, lang. What reaches the driver: a count and the words of a language."""
+    """Each language's common words, of most of all its documents first; docs: doc_id, text, lang. What reaches the driver: a count and the words of a language."""
     labelled = docs.where("lang is not null")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= rules.least_documents).collect()}
-    if not counts:
+    langs = sorted(r["lang"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= rules.least_documents).collect())
+    if not langs:
         return {}
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(2.0 * rules.learn_from / n))])
-    draw = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 8), 16, 10).cast("double") / 2.0**32
-    drawn = labelled.where(draw < share[F.col("lang")]).select("lang", "text")
-
-    def work(batch: pa.RecordBatch) -> dict:
-        found = [sorted({plain_word(w) for w in set(t.split())} - {""}) for t in as_bytes(batch.column("text"))]
-        return {"lang": batch.column("lang"), "words": found}
-
-    words = per_batch(spark, drawn, "lang string, words array<string>", work).select("lang", F.explode("words").alias("word"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = words.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rules.common_words)
-    out: dict[str, list[str]] = {lang: [] for lang in sorted(counts)}
+    totals = document_counts(spark, labelled.where(F.col("lang").isin(langs))).groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    top = totals.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= rules.common_words)
+    out: dict[str, list[str]] = {lang: [] for lang in langs}
     for r in sorted(top.collect(), key=lambda r: r["nth"]):
         out[r["lang"]].append(r["word"])
     return out

@@ -1,11 +1,11 @@
-"""Near copies by fingerprints of minima: the near-dedup operator at a word-shingle similarity of 0.8.
+"""Near copies at a word-shingle similarity of 0.8: majority bits first, minima for what they cannot see.
 
-As in simhash_dedup.py, fingerprints are split into blocks so that close pairs share one, rows are joined on blocks, and
-the Hamming distance of the fingerprints is verified. Majority bits cannot give that similarity its results: at 0.8 they
-differ in about 10 of 64 places, and blocks that let so much pass join everything with everything. So the fingerprint
-here is made of minima: of BANDS * ROWS hash functions the least values over a text's set of shingles (five words). A
+The near-dedup of simhash_dedup.py comes first, on shingles of five words: 64 majority bits, blocks, their join and the
+Hamming distance, at two bits. Majority bits alone cannot give that similarity its results: at 0.8 they
+differ in about 10 of 64 places, and blocks that let so much pass join everything with everything. So a second fingerprint
+is made of minima: of BANDS * ROWS hash functions the least values over a text's set of shingles. A
 block is ROWS minima; a pair at 0.8 shares none with a probability of (1 - 0.8^ROWS)^BANDS, 3e-6. The distance counts
-minima whose two lowest bits differ; a pair at 0.8 has more than FAR of them with 1e-5. All pairs that pass are verified
+minima whose two lowest bits differ; a pair at 0.8 has more than FAR of them with 1e-5. All pairs of either kind are verified
 on their whole sets, so no link is wrong; linked texts are one group, copies of copies included.
 
 Equal sets are one class before any join. In a block's bucket every class is compared with a few leaders, the classes with
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import as_bytes, extend, place_of, release, runs, settle
 from strata.llm.shingles import shingle_hashes
+from strata.llm.simhash_dedup import BITS, links
 from strata.operators.graph import components
 
 BANDS, ROWS = 24, 4
@@ -42,22 +43,37 @@ MIX = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint
 CHAIN = np.uint64(0x9E3779B97F4A7C15)
 WORDS = BANDS * ROWS // 32
 MARKS = [f"s{k}" for k in range(WORDS)]
-SKETCH = "fp long, n long, bands array<long>, " + ", ".join(f"{m} long" for m in MARKS)
+SKETCH = "fp long, n long, majority long, bands array<long>, " + ", ".join(f"{m} long" for m in MARKS)
 
 
 def sets_of(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles."""
-    hashes, counts = shingle_hashes(texts, width)
+    return distinct(*shingle_hashes(texts, width))
+
+
+def distinct(hashes: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     ends = np.cumsum(counts)
     return [np.unique(hashes[a:b]) for a, b in zip(ends - counts, ends)]
 
 
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """simhash_dedup.fingerprint_of(), a bit at a time, which holds less of a long text at once; counts are above zero."""
+    starts = np.cumsum(counts) - counts
+    out = np.zeros(len(counts), np.uint64)
+    for k in range(BITS):
+        ones = np.add.reduceat(hashes >> np.uint64(k) & np.uint64(1), starts).astype(np.int64)
+        out |= (2 * ones > counts).astype(np.uint64) << np.uint64(k)
+    return out
+
+
 def sketches(column: pa.Array, width: int) -> dict:
-    """Hash of each text's set, its size, its blocks, and two bits of each minimum."""
+    """Hash of each text's set, its size, its majority bits, its blocks, and two bits of each minimum."""
     texts = as_bytes(column)
-    parts: dict[str, list[np.ndarray]] = {"fp": [], "n": [], "bands": [], **{m: [] for m in MARKS}}
+    parts: dict[str, list[np.ndarray]] = {"fp": [], "n": [], "majority": [], "bands": [], **{m: [] for m in MARKS}}
     for run in runs(texts, 1 << 20):
-        sets = sets_of(texts[run], width)
+        hashes, counts = shingle_hashes(texts[run], width)
+        sets = distinct(hashes, counts)
+        parts["majority"].append(majority(hashes, counts))
         n = np.array([len(s) for s in sets], np.int64)
         whole, starts = np.concatenate(sets), np.cumsum(n) - n
         band = np.repeat(np.arange(BANDS, dtype=np.uint64)[None, :], len(sets), 0)
@@ -105,6 +121,11 @@ def candidates(spark: SparkSession, buckets: DataFrame, first: int, least: int)
     return settle(spark, met.select(F.least("x.fp", "y.fp").alias("fp_a"), F.greatest("x.fp", "y.fp").alias("fp_b")).distinct(), "pairs")
 
 
+def close(spark: SparkSession, classes: DataFrame) -> DataFrame:
+    """Pairs fp_a < fp_b of classes that the near-dedup operator links: majority bits that differ in two places at most."""
+    return links(spark, classes.select(F.col("fp").alias("rep"), F.col("majority").alias("fp"))).select(F.col("v").alias("fp_a"), F.col("u").alias("fp_b"))
+
+
 def fetch(spark: SparkSession, docs: DataFrame, text: str, classes: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """fp and set of classes, each from its first row's text; wanted: fp. Texts are shuffled at every size alike, so that disk grows as the input does."""
     ids = classes.select("fp", F.col("first.uid").alias("uid")).join(wanted, "fp", "left_semi").select("uid")
@@ -160,17 +181,20 @@ def turn(spark: SparkSession, crowd: DataFrame, roots: DataFrame, before: int, u
 
 
 def grouped(spark: SparkSession, docs: DataFrame, text: str, width: int, least: int, first: int = FIRST, growth: int = GROWTH) -> DataFrame:
-    """fp, first and root of each class of equal sets; docs: uid, key, fp, n, bands, marks and the text."""
+    """fp, first and root of each class of equal sets; docs: uid, key, fp, n, majority, bands, marks and the text."""
     order = F.struct(F.isnull("key").alias("without"), "key", "uid")
     same = [F.any_value(c).alias(c) for c in ("n", "bands", *MARKS)]
+    same.append(F.min("majority").alias("majority"))  # equal sets may repeat shingles in other numbers
     classes = settle(spark, docs.groupBy("fp").agg(F.min(order).alias("first"), *same), "classes")
     buckets = bucketed(spark, classes)
-    pairs = candidates(spark, buckets, first, least)
+    met = candidates(spark, buckets, first, least)
+    pairs = settle(spark, met.unionByName(close(spark, classes)).distinct(), "pairs")
+    release(met)
     # what pairs need now and crowds may need later: texts are fetched once
     wanted = pairs.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).unionByName(buckets.where(F.col("size") > first).select("fp")).distinct()
     sets = fetch(spark, docs, text, classes, wanted, width)
-    links = [verified(spark, pairs, sets, least)]
-    roots = settle(spark, components(spark, links[0]), "roots")
+    linked = [verified(spark, pairs, sets, least)]
+    roots = settle(spark, components(spark, linked[0]), "roots")
 
     left = crowds(spark, buckets, roots, first)
     release(buckets, pairs)
@@ -182,14 +206,14 @@ def grouped(spark: SparkSession, docs: DataFrame, text: str, width: int, least:
     release(sets)
     before, until = 0, first * growth
     while before < most:
-        links.append(turn(spark, left, roots, before, until, least))
-        near = links[0]
-        for more in links[1:]:
+        linked.append(turn(spark, left, roots, before, until, least))
+        near = linked[0]
+        for more in linked[1:]:
             near = near.unionByName(more)
         old, roots = roots, settle(spark, components(spark, near), "roots")
         release(old)
         before, until = until, until * growth
-    release(left, *links)
+    release(left, *linked)
     return classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 

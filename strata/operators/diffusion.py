@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.functions.blas import one_thread
@@ -18,8 +18,10 @@ from strata.tables import release, settle, workers_see_package
 
 #: Nodes up to which a dense matrix is built; 8 n^2 bytes.
 MOST_DENSE = 6000
-#: Nodes of a block whose Krylov vectors are worked on side by side, and numbers of such a block gathered at once; blocks of a task.
-BLOCK, GATHERED, BLOCKS_A_TASK = 64, 4_000_000, 4
+#: Nodes of a block whose vectors are worked on side by side, and numbers that such a block may have; blocks of a task.
+BLOCK, GATHERED, BLOCKS_A_TASK = 64, 2_000_000, 4
+#: Numbers of a block's rows that are worked on at once, and neighbours beyond which a row is summed by itself.
+CACHED, WIDE = 65_536, 64
 
 
 def restart_similarity_iterative(spark: SparkSession, adj: DataFrame, beta: float, steps: int = 1) -> DataFrame:
@@ -140,23 +142,36 @@ def balanced_beta_of(spark: SparkSession, adj: DataFrame, digits: int = 2) -> fl
 
     Of a symmetric 0/1 matrix A with degrees d, P = (1 - beta) P W + beta I and A P = W D P give the mass on the network by
     the diagonal of P alone: trace(A P) = sum of d (P_jj - beta) / (1 - beta). All columns of P sum to one, which gives the rest.
-    P_jj = beta e (I - (1 - beta) S)^-1 e, with S = D^-1/2 A D^-1/2 and e of node j, comes from the Lanczos process on S
-    from e, the same for every beta; see `diagonals`.
+    P_jj = beta e (I - (1 - beta) S)^-1 e, with S = D^-1/2 A D^-1/2 and e of node j. Only sums over j are needed: sums of
+    e T_k(S / bound) e, see `moments`, give them for every beta as the series of 1 / (1 - c x) in Chebyshev polynomials T_k.
+    The eigenvalue 1 of each component, whose vector is known, is taken out of the sums and added as it is.
     """
     cells = settle(spark, adj.select("i", "j", "w"), "cells")
     start, near, names = _listed(cells)
     release(cells)
-    d = settle(spark, diagonals(spark, start, near, 0.1**digits), "diagonals")
+    degree, root = np.diff(start).astype(float), _components(len(names), np.repeat(np.arange(len(names)), np.diff(start)), near)
+    bound = bounds(start, near, root)
+    loop = np.zeros(len(names))
+    loop[near[near == np.repeat(np.arange(len(names)), np.diff(start))]] = 1
+    share = degree / np.bincount(root, degree, len(names))[root]  # of the eigenvalue 1
+    atoms = {at: np.array([share[own].sum(), share[own] @ degree[own], share[own] @ loop[own]]) for at in np.unique(bound) for own in [bound == at]}
+    found = moments(spark, start, near, root, bound, 0.1**digits).toPandas()
+    bulk = {}
+    for at, rows in found.groupby("bound"):
+        rows = rows.sort_values("k")
+        bulk[at] = rows[["one", "degree", "loop"]].to_numpy() - np.cosh(rows["k"].to_numpy() * math.acosh(1 / at))[:, None] * atoms[at]
 
     def f(beta: float) -> float:
-        p = diagonal(beta)
-        own, on = d.agg(F.sum(p), F.sum((F.col("degree") * (p - beta)) / (1 - beta) - F.col("loop") * p)).first()
-        return 2 * (on or 0.0) - (len(names) - (own or 0.0))
+        own = on = 0.0
+        for at, sums in bulk.items():
+            q, root = _series((1 - beta) * at)
+            series = 2 * q ** np.arange(len(sums)) / root
+            series[0] /= 2
+            p, p_degree, p_loop = beta * (series @ sums) + atoms[at]
+            own, on = own + p, on + p_degree / (1 - beta) - p_loop
+        return 2 * (on - beta * degree.sum() / (1 - beta)) - (len(names) - own)
 
-    try:
-        return _root(f, digits)
-    finally:
-        release(d)
+    return _root(f, digits)
 
 
 def _listed(cells: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -189,77 +204,128 @@ def _components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return root
 
 
-def lanczos(start: np.ndarray, near: np.ndarray, columns: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Diagonals and squared off-diagonals (a row a column) of the Lanczos matrices T of S from the unit vectors of these columns.
+def bounds(start: np.ndarray, near: np.ndarray, root: np.ndarray, rounds: int = 300) -> np.ndarray:
+    """For each node, a bound of what is left of its component's eigenvalues without 1: powers on one vector a component, and 2 % more, in hundredths.
 
-    The first entry of (I - c T)^-1 is a Gauss quadrature: it grows towards that of S with every step, and the Gauss-Radau
-    quadrature with a node above all eigenvalues stays above it. Steps end when the two agree to 1e-13 at c = 1 - least, where they are slowest.
+    An eigenvalue beyond the bound does no harm but that its own series ends later.
+    """
+    if not len(root):
+        return np.zeros(0)
+    first, component = np.unique(root, return_inverse=True)
+    degree = np.diff(start).astype(float)
+    top, scale = np.sqrt(degree), 1 / np.sqrt(degree)
+    whole = np.add.reduceat(degree, first)
+    y = np.random.default_rng(0).standard_normal(len(root))
+    for _ in range(rounds):
+        y -= top * (np.add.reduceat(top * y, first) / whole)[component]
+        norm = np.sqrt(np.add.reduceat(y * y, first))[component]
+        y /= np.where(norm > 1e-12, norm, 1.0)
+        y = scale * np.add.reduceat((scale * y)[near], start[:-1])
+    left = np.sqrt(np.add.reduceat(y * y, first))
+    return np.clip(np.ceil(102 * left) / 100, 0.5, 1.0)[component]
+
+
+def _series(a: float) -> tuple[float, float]:
+    """1 / (1 - a x) is the sum of 2 q^k T_k(x) / root, the first term halved."""
+    root = math.sqrt(1 - a * a)
+    return (1 - root) / a, root
+
+
+def steps(bound: float, least: float, tolerance: float = 1e-6) -> int:
+    """Steps k after which the terms beyond T_2k add up to less than the tolerance at the least beta, where they fall slowest."""
+    q, root = _series((1 - least) * bound)
+    return max(1, math.ceil(math.log(tolerance * (1 - q) * root / 2, q) / 2))
+
+
+class Neighbours:
+    """Sums over neighbours for the rows of a matrix, which stand in order of falling degree: a neighbour at a time for rows that have few, a row at a time for others."""
+
+    def __init__(self, start: np.ndarray, near: np.ndarray):
+        degree = np.diff(start)
+        order = np.argsort(-degree, kind="stable")
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.arange(len(order))
+        self.degree, first = degree[order].astype(float), start[:-1][order]
+        self.wide = int((degree > WIDE).sum())
+        self.rows = [self.place[near[first[k] : first[k] + degree[order[k]]]] for k in range(self.wide)]
+        ends = [int((degree > s).sum()) for s in range(min(WIDE, degree.max()))]
+        self.slots = [self.place[near[first[self.wide : end] + s]] for s, end in enumerate(ends)]
+
+    def sums(self, x: np.ndarray, a: int, b: int, out: np.ndarray, room: np.ndarray) -> None:
+        """Rows a to b, all wide or none."""
+        if b <= self.wide:
+            for k in range(a, b):
+                x[self.rows[k]].sum(0, out=out[k - a])
+            return
+        a, b = a - self.wide, b - self.wide
+        np.take(x, self.slots[0][a:b], axis=0, out=out, mode="clip")
+        for slot in self.slots[1:]:
+            part = slot[a:b]
+            if not len(part):
+                break
+            out[: len(part)] += np.take(x, part, axis=0, out=room[: len(part)], mode="clip")
+
+    def moments(self, columns: np.ndarray, bound: float, most: int) -> np.ndarray:
+        """e T_k(S / bound) e for k = 0 ... 2 most, a row each, and the unit vectors e of these columns.
+
+        From V_k = T_k e come T_2k = 2 T_k T_k - 1 and T_2k+1 = 2 T_k T_k+1 - T_1. The rows of V are held divided by the root
+        of their degree, and the columns times it, so that a step is V_k+1 = (2 / bound) D^-1 A V_k - V_k-1.
+        """
+        n, width = len(self.degree), len(columns)
+        at = self.place[columns]
+        now, then = np.zeros((n, width)), np.zeros((n, width))
+        now[at, np.arange(width)] = 1
+        size = max(1, CACHED // width)
+        cuts = [*range(0, self.wide, size), *range(self.wide, n, size), n]
+        out, room = np.empty((size, width)), np.empty((size, width))
+        found = np.empty((2 * most + 1, width))
+        found[0] = 1
+        for k in range(most):
+            scale = ((2 if k else 1) / (bound * self.degree))[:, None]
+            same, cross = np.zeros(width), np.zeros(width)
+            for a, b in zip(cuts, cuts[1:]):
+                t, y, d = out[: b - a], then[a:b], self.degree[a:b]
+                self.sums(now, a, b, t, room)
+                t *= scale[a:b]
+                np.subtract(t, y, out=y)
+                same += d @ np.multiply(y, y, out=t)
+                cross += d @ np.multiply(y, now[a:b], out=t)
+            cross, same = cross / self.degree[at], same / self.degree[at]
+            found[2 * k + 1] = 2 * cross - found[1] if k else cross
+            found[2 * k + 2] = 2 * same - 1
+            now, then = then, now
+        return found
+
+
+def moments(spark: SparkSession, start: np.ndarray, near: np.ndarray, root: np.ndarray, bound: np.ndarray, least: float) -> DataFrame:
+    """(bound, k, one, degree, loop): sums of e T_k(S / bound) e over all nodes of a bound, and of it times degree and times loops.
+
+    The network's list is broadcast; a block of nodes needs its components' rows only.
     """
-    degree = np.diff(start)
-    scale = 1 / np.sqrt(degree)[:, None]
-    c, above = 1 - least, 1 + least / 4
-    v = np.zeros((len(degree), len(columns)))
-    v[columns, np.arange(len(columns))] = 1
-    before, link2 = np.zeros_like(v), np.zeros(len(columns))
-    alphas, links = [], []
-    low, weight, pivot, radau = np.zeros(len(columns)), np.ones(len(columns)), None, None
-    going = np.ones(len(columns), bool)
-    while going.any():
-        w = scale * np.add.reduceat((scale * v)[near], start[:-1], axis=0) - np.sqrt(link2) * before
-        alpha = (v * w).sum(0)
-        w -= alpha * v
-        if pivot is None:
-            pivot, radau = 1 - c * alpha, alpha - above
-            low = 1 / pivot
-        else:
-            step = c * c * link2
-            low = low + step * weight / (pivot * ((1 - c * alpha) * pivot - step))
-            weight = weight * step / pivot**2
-            pivot, radau = 1 - c * alpha - step / pivot, alpha - above - link2 / radau
-        alphas.append(np.where(going, alpha, 0.0))
-        link2 = (w * w).sum(0)
-        step = c * c * link2
-        gap = step * weight / (pivot * ((1 - c * (above + link2 / radau)) * pivot - step))
-        going &= (link2 > 1e-26) & ~(np.abs(gap) <= 1e-13 * low)
-        link2 = np.where(going, link2, 0.0)
-        links.append(link2)
-        before, v = v, w / np.sqrt(np.where(going, link2, 1.0)) * going
-    return np.stack(alphas, 1), np.stack(links, 1)
-
-
-def diagonals(spark: SparkSession, start: np.ndarray, near: np.ndarray, least: float) -> DataFrame:
-    """degree, loop, and `steps` (alpha, link) for each node; the network's list is broadcast, and a block of nodes needs its components' rows only."""
     workers_see_package(spark)
     n = len(start) - 1
-    shared = spark.sparkContext.broadcast((start, near))
+    shared = spark.sparkContext.broadcast((start, near, root.astype(np.int32), bound))
     blocks = -(-n // BLOCK)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        start, near = shared.value
-        node = np.repeat(np.arange(n), np.diff(start))
-        root = _components(n, node, near)
+        start, near, root, bound = shared.value
+        kept = None, None
         for batch in batches:
             for block in batch["id"]:
                 a, b = block * BLOCK, min(n, (block + 1) * BLOCK)
                 first, end = root[a], np.searchsorted(root, root[b - 1], "right")
-                part = slice(start[first], start[end])
-                own, inside = start[first : end + 1] - start[first], near[part] - first
-                loops = np.zeros(end - first)
-                loops[inside[inside == node[part] - first]] = 1
-                width = max(1, GATHERED // len(inside))
-                for at in range(a - first, b - first, width):
-                    columns = np.arange(at, min(at + width, b - first))
-                    alpha, link = lanczos(own, inside, columns, least)
-                    yield pd.DataFrame({"degree": np.diff(own)[columns].astype(float), "loop": loops[columns], "alpha": list(alpha), "link": list(link)})
-
-    made = spark.range(0, blocks, 1, max(1, -(-blocks // BLOCKS_A_TASK))).mapInPandas(work, "degree double, loop double, alpha array<double>, link array<double>")
-    return made.select("degree", "loop", F.reverse(F.arrays_zip("alpha", "link")).alias("steps"))
-
-
-def diagonal(beta: float) -> Column:
-    """P_jj from `steps`, last first: a continued fraction."""
-    c = 1 - beta
-    return beta * F.aggregate("steps", F.lit(math.inf), lambda x, s: 1 - c * s["alpha"] - c * c * s["link"] / x) ** -1
+                if kept[0] != (first, end):
+                    kept = (first, end), Neighbours(start[first : end + 1] - start[first], near[start[first] : start[end]] - first)
+                width = max(1, GATHERED // int(end - first))
+                for at in np.unique(bound[a:b]):
+                    nodes = a + np.flatnonzero(bound[a:b] == at)
+                    for part in np.split(nodes, range(width, len(nodes), width)):
+                        found = kept[1].moments(part - first, at, steps(at, least))
+                        loop = np.array([j in near[start[j] : start[j + 1]] for j in part], float)
+                        yield pd.DataFrame({"bound": at, "k": np.arange(len(found)), "one": found.sum(1), "degree": found @ (start[part + 1] - start[part]), "loop": found @ loop})
+
+    made = spark.range(0, blocks, 1, max(1, -(-blocks // BLOCKS_A_TASK))).mapInPandas(work, "bound double, k int, one double, degree double, loop double")
+    return made.groupBy("bound", "k").agg(*(F.sum(c).alias(c) for c in ("one", "degree", "loop")))
 
 
 def similarity(spark: SparkSession, edges: DataFrame, directed: bool = False, beta: float | None = None, limit: float = 1.0, digits: int = 2, use_edge_weights: bool = False) -> tuple[list, np.ndarray, float]:

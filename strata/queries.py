@@ -275,7 +275,8 @@ SQL["combined_similarity"] = f"with {N2}, {NATION_SCORES} select v i, u j, w * s
 
 def _unit_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Undirected network of the supplier pairs, weight 1."""
-    return graph.adjacency(networks.supplier_network(spark, sf_dir).select(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(1.0).alias("weight")))
+    pairs = settle(spark, networks.supplier_network(spark, sf_dir), "edges")  # which both directions read
+    return graph.adjacency(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(1.0).alias("weight")))
 
 
 def ppr_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:

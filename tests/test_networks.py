@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from strata import queries
 from strata.sources import networks
 
 
@@ -47,3 +48,9 @@ def test_same_as_counted_pairs(spark, tmp_path, rows):
     assert out.dtypes == [("u", "bigint"), ("v", "bigint")]
     assert sorted(map(tuple, out.collect())) == sorted(plain(rows))
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_balance_makes_the_network_once(spark, sf):
+    """Cells in both directions come from pairs that are written, not made twice."""
+    plan = queries._unit_trade(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "Scan parquet" in plan
